@@ -227,7 +227,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (maximal removed runs, end exclusive)."""
     spark = C.ready(docs.sparkSession)
     total = C.text_bytes(docs)
-    blocks, buckets = C.n_blocks(spark, total, block_bytes), C.n_blocks(spark, total, 4 * block_bytes)
+    blocks, buckets = C.n_blocks(spark, total, block_bytes), C.n_blocks(spark, total, block_bytes)
     docs = docs.select(C.block_of(blocks).alias("block"), "doc_id", "text")
 
     def laid(t: pa.Table) -> tuple[list, list[bytes], np.ndarray, np.ndarray]:
