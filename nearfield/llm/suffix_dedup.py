@@ -43,7 +43,8 @@ def multikey_quicksort(words: np.ndarray, order: np.ndarray, depth: int, last: i
     while stack:
         rows, d = stack.pop()
         if len(rows) < 2 or d == last:
-            out.append(rows)
+            if len(rows):
+                out.append(rows)
             continue
         key = words[rows, d]
         if len(rows) < 4096:  # small: one sort does the partitioning
@@ -91,13 +92,7 @@ def blind_trie(texts: list[bytes], rows: list[int], at: int) -> tuple[list[int],
             node = node[1][key]
         own = s[n] if n < len(s) else -1
         if type(node) is list and node[0] == n:
-            if own in node[1]:  # an equal text: next to it
-                old = node[1][own]
-                node[1][own] = [len(s), {-1: old, -2 - r: r}] if type(old) is not list else old
-                if type(old) is list:
-                    old[1][-2 - r] = r
-            else:
-                node[1][own] = r
+            node[1][own if own not in node[1] else -2 - r] = r  # in the second case an equal text: next to it
             continue
         other = leaf[n] if n < len(leaf) else -1
         new = [n, {other: node, own: r}] if other != own else [n, {-1: node, -2 - r: r}]
@@ -188,7 +183,8 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
             least = least.astype(np.int64)
             first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
             last = np.r_[first[1:] - 1, len(least) - 1]
-            out.append((h[least[first]], least[first] + a, first + a, last + a))
+            # minima lie near 0: mixed again, they spread over the ranges
+            out.append((C.mix64(h[least[first]]), least[first] + a, first + a, last + a))
         begin = end
     if not out:
         z = np.zeros(0, np.int64)
