@@ -5,8 +5,10 @@ from __future__ import annotations
 from .fingerprints import op1_fingerprints
 from .mixing import op3_mixing
 from .near_dedup import op6_near_dedup
+from .pii import op8_pii
+from .quality import op9_quality
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op10_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_mixing, op5_substring_dedup, op6_near_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_mixing, op5_substring_dedup, op6_near_dedup, op8_pii, op9_quality, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
