@@ -1,13 +1,63 @@
-"""Corpus pipeline: the stages that turn raw documents into a training mix."""
+"""Corpus pipeline: the stages that turn raw documents into a training mix.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and is written as Parquet and read again before the next.
+All but the last return the columns of ``documents``; the last adds the pieces of each text.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfield.llm import common, mixing, near_dedup, pieces, pii, quality
+
+#: factorisation machines and searches have no SQL form; tests compare the stages with brute force
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier scores under its threshold.  It learns from the labelled rows of the input."""
+    model = quality.train(docs, common.table(spark, sf_dir, "labels"))
+    return quality.score(docs, model, "__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: the one with the smallest doc_id (five words, 0.8)."""
+    kept = near_dedup.near_duplicates(docs, k=5, per_cent=80).where("kept").select("doc_id").distinct()
+    one = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    return one.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that reveal it give way to their kind."""
+    return pii.sanitise(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: its taken words over its size, rounded (a text cut by its source's target counts from one half)."""
+    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
+    times = taken.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("__times"))
+    return docs.join(times.hint("merge"), "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The text's pieces: ids, their number and score, and whether decoding gives the text back."""
+    out = pieces.encode(docs, n=1)
+    return out.select(*docs.columns, "ids", "n_pieces", "score", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+STAGES = [
+    ("quality classifier", filter_quality),
+    ("near dedup", drop_near_duplicates),
+    ("pii", sanitise),
+    ("source mixing", mix_sources),
+    ("pieces", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole ``documents`` table."""
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
