@@ -55,12 +55,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(map(len, known.values())) * low, max(map(len, known.values())) * high
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def once(x: Column) -> Column:
+        """``x`` computed once a row: filters on it are not pushed below an explode, where they would compute it again."""
+        return F.explode(F.array(x))
+
     lines = F.split("text", "\n")
     units = docs.select("doc_id", F.posexplode(F.concat(F.array("text"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("unit", "part"))
     # k distinct bigrams need k + 1 words, two characters each but for the last
-    units = units.where(F.length("part") >= 2 * least + 1).withColumn("words", F.split(_normalised(F.col("part")), " ")).where(F.size("words") > least)
+    units = units.where(F.length("part") >= 2 * least + 1).select("doc_id", "unit", once(F.split(_normalised(F.col("part")), " ")).alias("words")).where(F.size("words") > least)
     w = F.col("words")
-    units = units.withColumn("own", F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))))
+    units = units.select("doc_id", "unit", once(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).alias("own"))
     n = F.size("own")
     units = units.where((n >= least) & (n <= most))
     tried = []
