@@ -23,6 +23,7 @@ import os
 import re
 from itertools import accumulate, chain, count
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,9 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-REMEMBER = 200_000
+REMEMBER = 400_000
+WIDE = 28
+BASE = 0x9E3779B97F4A7C15
 PART = re.compile(r" *[^ ]+| +\Z")
 
 
@@ -66,7 +69,6 @@ class Lattice:
         self.worst = min(p[1] for p in self.pieces.values()) - 10
         self.remember = remember
         self.known: dict = {}
-        self.older: dict = {}
         self.more: dict = {}
 
     def _into(self, s: str) -> list[list]:
@@ -87,9 +89,6 @@ class Lattice:
 
     def best(self, s: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of the best way, and what the second best loses (infinite: there is none)."""
-        if r := self.older.get(s):
-            self.known[s] = r
-            return r
         n, get = len(s), self.prefixes.get
         one, two, by = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
         one[0] = 0.0
@@ -123,10 +122,80 @@ class Lattice:
         r = (tuple(x for e in reversed(ids) for x in e), one[n], one[n] - two[n])
         if n <= 64:
             if len(self.known) >= self.remember:
-                self.older, self.known = self.known, {}
+                self.known = {}
             self.known[s] = r
         return r
 
+    def _tables(self) -> None:
+        """Pieces by polynomial hash of their code points: tables of slots, each for what collides in the one before."""
+        names = sorted(self.pieces)
+        self.longest = max(map(len, names))
+        self.power = np.array([pow(BASE, k, 2**64) for k in range(WIDE + 1)], np.uint64)
+        keys = np.array([sum(ord(c) * pow(BASE, len(x) - 1 - k, 2**64) for k, c in enumerate(x)) % 2**64 for x in names], np.uint64)
+        self.score = np.array([self.pieces[x][1] for x in names] + [-np.inf])
+        self.piece = np.array([self.pieces[x][0] for x in names] + [-1])
+        self.keys, self.slots, left = np.append(keys, np.uint64(0)), [], np.arange(len(names))
+        for k in range(8):
+            spread = np.uint64(pow(BASE, 2 * k + 3, 2**64))
+            at = (keys[left] * spread) >> np.uint64(42)
+            _, first = np.unique(at, return_index=True)
+            table = np.full(1 << 22, len(names), np.int32)
+            table[at[first]] = left[first]
+            self.slots.append((spread, table))
+            left = np.delete(left, first)
+            if not len(left):
+                break
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """Number of the piece with each hash, or the last number."""
+        none = len(self.keys) - 1
+        out = np.full(len(h), none, np.int32)
+        for spread, table in self.slots:
+            at = table[(h * spread) >> np.uint64(42)]
+            out = np.where(self.keys[at] == h, at, out)
+        return out
+
+    def learn(self, parts: set[str]) -> None:
+        """``best`` for many parts at once: the same steps, for all parts of one length together."""
+        parts = parts - self.known.keys()
+        if not hasattr(self, "keys"):
+            self._tables()
+        if len(self.known) + len(parts) > self.remember:
+            self.known = {}
+        by_size: dict[int, list[str]] = {}
+        for s in parts:
+            if len(s) <= WIDE:
+                by_size.setdefault(len(s), []).append(s)
+        for n, words in by_size.items():
+            code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+            plain = (self._found(code.ravel()).reshape(code.shape) < len(self.keys) - 1).all(1)  # the rest needs byte pieces
+            code, words = code[plain], [w for w, ok in zip(words, plain.tolist()) if ok]
+            rows = np.arange(len(words))
+            start = np.zeros((n + 1, len(words)), np.uint64)
+            for j in range(n):
+                start[j + 1] = start[j] * self.power[1] + code[:, j]
+            one, two = np.full((n + 1, len(words)), -np.inf), np.full((n + 1, len(words)), -np.inf)
+            by, where = np.zeros((n + 1, len(words)), np.int32), np.zeros((n + 1, len(words)), np.int32)
+            one[0] = 0.0
+            for i in range(n):
+                for j in range(i + 1, min(n, i + self.longest) + 1):
+                    p = self._found(start[j] - start[i] * self.power[j - i])
+                    x = self.score[p]
+                    v = one[i] + x
+                    better = v > one[j]
+                    two[j] = np.where(better, np.maximum(one[j], two[i] + x), np.maximum(two[j], v))
+                    one[j] = np.where(better, v, one[j])
+                    by[j] = np.where(better, i, by[j])
+                    where[j] = np.where(better, p, where[j])
+            at, chain_, used = np.full(len(words), n), np.full((n, len(words)), -1, np.int64), np.zeros(len(words), np.int64)
+            for k in range(n):
+                live = at > 0
+                chain_[k] = np.where(live, self.piece[where[at, rows]], -1)
+                used += live
+                at = np.where(live, by[at, rows], 0)
+            for w, ids, k, a, b in zip(words, chain_.T.tolist(), used.tolist(), one[n].tolist(), (one[n] - two[n]).tolist()):
+                self.known[w] = (tuple(ids[:k][::-1]), a, b)
+
     def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids): backward A-star on forward Viterbi scores."""
         if (s, n) in self.more:
@@ -205,9 +274,11 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
     def run(batches):
         lattice = lattice_of(held.value)
         for b in batches:
-            for a in range(0, b.num_rows, 100):
+            for a in range(0, b.num_rows, 200):
                 p = b.slice(a, 100)
-                ways = [lattice.encode(t, n) for t in p.column(place).to_pylist()]
+                texts = p.column(place).to_pylist()
+                lattice.learn(set(chain.from_iterable(PART.findall(" " + t) for t in texts if t)))
+                ways = [lattice.encode(t, n) for t in texts]
                 ids = [w[0][1] if w else [] for w in ways]
                 more = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([w[0][0] if w else 0.0 for w in ways], pa.float64()), pa.array([[{"score": s, "ids": x} for s, x in w] for w in ways], nbest), pa.array([lattice.decode(x) if x else "" for x in ids], pa.string())]
                 yield pa.record_batch([*p.columns, *more], [*p.schema.names, "ids", "n_pieces", "score", "nbest", "decoded"])
@@ -226,7 +297,9 @@ def digests(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
             for a in range(0, b.num_rows, 500):
                 p = b.slice(a, 500)
                 out: dict = {k: [] for k in ("n_pieces", "ids_sha256", "score", "nbest_scores", "nbest_pieces", "decoded_sha256", "round_trip")}
-                for t in p.column(1).to_pylist():
+                texts = p.column(1).to_pylist()
+                lattice.learn(set(chain.from_iterable(PART.findall(" " + t) for t in texts if t)))
+                for t in texts:
                     ways = lattice.encode(t, n)
                     ids = ways[0][1] if ways else []
                     back = lattice.decode(ids) if ids else ""
