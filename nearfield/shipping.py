@@ -9,9 +9,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: rows of whole texts in an Arrow batch, where the session still has Spark's default of 10,000
+BATCH_ROWS = 1000
+
 
 def ready(spark: SparkSession) -> SparkSession:
     """Sends the package's source to the executors, once a session's context (needed where it isn't installed there)."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_nearfield_shipped", False):
         return spark
