@@ -16,12 +16,15 @@ text: no pieces.  Rows with one doc_id: a row each.  Empty table: empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import math
 import os
 import re
+from array import array
 from itertools import accumulate, chain, count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,10 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-REMEMBER = 400_000
+REMEMBER = 1_000_000
 WIDE = 28
 BASE = 0x9E3779B97F4A7C15
+IDS, SCORE, LOSS = map(itemgetter, range(3))
 PART = re.compile(r" *[^ ]+| +\Z")
 
 
@@ -149,15 +153,19 @@ class Lattice:
     def _found(self, h: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash, or the last number."""
         none = len(self.keys) - 1
-        out = np.full(len(h), none, np.int32)
-        for spread, table in self.slots:
-            at = table[(h * spread) >> np.uint64(42)]
-            out = np.where(self.keys[at] == h, at, out)
+        spread, table = self.slots[0]
+        out = table[(h * spread) >> np.uint64(42)]
+        taken = np.flatnonzero(out < none)
+        again = taken[self.keys[out[taken]] != h[taken]]  # the slot is another piece's
+        out[again] = none
+        for spread, table in self.slots[1:]:
+            at = table[(h[again] * spread) >> np.uint64(42)]
+            out[again] = np.where(self.keys[at] == h[again], at, out[again])
         return out
 
     def learn(self, parts: set[str]) -> None:
         """``best`` for many parts at once: the same steps, for all parts of one length together."""
-        parts = parts - self.known.keys()
+        parts = {s for s in parts if s not in self.known}
         if not hasattr(self, "keys"):
             self._tables()
         if len(self.known) + len(parts) > self.remember:
@@ -175,35 +183,40 @@ class Lattice:
             for j in range(n):
                 start[j + 1] = start[j] * self.power[1] + code[:, j]
             one, two = np.full((n + 1, len(words)), -np.inf), np.full((n + 1, len(words)), -np.inf)
-            by, where = np.zeros((n + 1, len(words)), np.int32), np.zeros((n + 1, len(words)), np.int32)
+            by = np.zeros((n + 1, len(words)), np.int32)  # piece * 32 + its start
             one[0] = 0.0
             for i in range(n):
                 for j in range(i + 1, min(n, i + self.longest) + 1):
                     p = self._found(start[j] - start[i] * self.power[j - i])
-                    x = self.score[p]
-                    v = one[i] + x
-                    better = v > one[j]
-                    two[j] = np.where(better, np.maximum(one[j], two[i] + x), np.maximum(two[j], v))
-                    one[j] = np.where(better, v, one[j])
-                    by[j] = np.where(better, i, by[j])
-                    where[j] = np.where(better, p, where[j])
+                    own = np.flatnonzero(p < len(self.keys) - 1)
+                    p = p[own]
+                    x, old, second = self.score[p], one[j, own], two[j, own]
+                    v = one[i, own] + x
+                    better = v > old
+                    two[j, own] = np.where(better, np.maximum(old, two[i, own] + x), np.maximum(second, v))
+                    one[j, own] = np.maximum(old, v)
+                    by[j, own] = np.where(better, p * 32 + i, by[j, own])
             at, chain_, used = np.full(len(words), n), np.full((n, len(words)), -1, np.int64), np.zeros(len(words), np.int64)
             for k in range(n):
                 live = at > 0
-                chain_[k] = np.where(live, self.piece[where[at, rows]], -1)
+                step = by[at, rows]
+                chain_[k] = np.where(live, self.piece[step >> 5], -1)
                 used += live
-                at = np.where(live, by[at, rows], 0)
+                at = np.where(live, step & 31, 0)
             for w, ids, k, a, b in zip(words, chain_.T.tolist(), used.tolist(), one[n].tolist(), (one[n] - two[n]).tolist()):
                 self.known[w] = (tuple(ids[:k][::-1]), a, b)
+        gc.freeze()  # known parts hold no cycles: no collection need walk them again
 
-    def n_best(self, s: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids): backward A-star on forward Viterbi scores."""
-        if (s, n) in self.more:
-            return self.more[s, n]
+    def n_best(self, s: str, n: int, limit: float = math.inf) -> list[tuple[float, tuple[int, ...]]]:
+        """The ``n`` best (score, ids), of those that lose ``limit`` at most: backward A-star on forward Viterbi scores."""
+        wider, known = self.more.get((s, n), (-1.0, None))
+        if wider >= limit:
+            return known
         into, size = self._into(s), len(s)
         fore = [0.0] + [-math.inf] * size
         for j in range(1, size + 1):
             fore[j] = max((fore[i] + x for i, _, x in into[j]), default=-math.inf)
+        least = fore[size] - limit - 1e-9
         heap: list = [(-fore[size], 0, size, 0.0, ())]
         out, made = [], 0
         while heap and len(out) < n:
@@ -212,33 +225,39 @@ class Lattice:
                 out.append((behind, ids))
                 continue
             for i, own, x in into[j]:
-                made += 1
-                heapq.heappush(heap, (-(fore[i] + x + behind), made, i, behind + x, own + ids))
+                if (whole := fore[i] + x + behind) >= least:
+                    made += 1
+                    heapq.heappush(heap, (-whole, made, i, behind + x, own + ids))
         if size <= 64:
             if len(self.more) >= self.remember // 8:
                 self.more.clear()
-            self.more[s, n] = out
+            self.more[s, n] = limit, out
         return out
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
         """The ``n`` best (score, ids) of a whole text, best first."""
-        if not text:
+        return self.ways(PART.findall(" " + text), n) if text else []
+
+    def ways(self, parts: list[str], n: int) -> list[tuple[float, list[int]]]:
+        """``encode`` for a text's parts."""
+        if not parts:
             return []
-        parts = PART.findall(" " + text)
         best = list(map(self.known.get, parts))
         if None in best:
             solve = self.best
             best = [b or solve(p) for b, p in zip(best, parts)]
-        flat = list(chain.from_iterable(b[0] for b in best))
-        score = math.fsum(b[1] for b in best)
+        flat = list(chain.from_iterable(map(IDS, best)))
+        score = math.fsum(map(SCORE, best))
         if n == 1:
             return [(score, flat)]
         ways: list[tuple[float, tuple]] = [(0.0, ())]  # (loss, ((part, ids), ...))
-        for loss, i in heapq.nsmallest(n - 1, zip((b[2] for b in best), count())):
+        near = heapq.nsmallest(n - 1, zip(map(LOSS, best), count()))
+        limit = near[-1][0] if len(near) == n - 1 else math.inf  # n - 1 ways lose no more than this
+        for loss, i in near:
             if loss < math.inf:
-                own = self.n_best(parts[i], n)
+                own = self.n_best(parts[i], n, limit)
                 ways = heapq.nsmallest(n, ((loss + own[0][0] - x, (*w, (i, ids))) for loss, w in ways for x, ids in own), key=lambda w: w[0])
-        at = list(accumulate((len(b[0]) for b in best), initial=0))
+        at = list(accumulate(map(len, map(IDS, best)), initial=0))
         out = []
         for k, (loss, changed) in enumerate(ways):
             ids = flat
@@ -277,8 +296,9 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
             for a in range(0, b.num_rows, 200):
                 p = b.slice(a, 100)
                 texts = p.column(place).to_pylist()
-                lattice.learn(set(chain.from_iterable(PART.findall(" " + t) for t in texts if t)))
-                ways = [lattice.encode(t, n) for t in texts]
+                parts = [PART.findall(" " + t) if t else [] for t in texts]
+                lattice.learn(set(chain.from_iterable(parts)))
+                ways = [lattice.ways(own, n) for own in parts]
                 ids = [w[0][1] if w else [] for w in ways]
                 more = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([w[0][0] if w else 0.0 for w in ways], pa.float64()), pa.array([[{"score": s, "ids": x} for s, x in w] for w in ways], nbest), pa.array([lattice.decode(x) if x else "" for x in ids], pa.string())]
                 yield pa.record_batch([*p.columns, *more], [*p.schema.names, "ids", "n_pieces", "score", "nbest", "decoded"])
@@ -287,7 +307,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (ids in decimal, comma-joined), score, nbest_scores, nbest_pieces, decoded_sha256, round_trip."""
+    """doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), score, nbest_scores, nbest_pieces, decoded_sha256, round_trip."""
     spark = C.ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(read_model(model))
 
@@ -298,12 +318,13 @@ def digests(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
                 p = b.slice(a, 500)
                 out: dict = {k: [] for k in ("n_pieces", "ids_sha256", "score", "nbest_scores", "nbest_pieces", "decoded_sha256", "round_trip")}
                 texts = p.column(1).to_pylist()
-                lattice.learn(set(chain.from_iterable(PART.findall(" " + t) for t in texts if t)))
-                for t in texts:
-                    ways = lattice.encode(t, n)
+                parts = [PART.findall(" " + t) if t else [] for t in texts]
+                lattice.learn(set(chain.from_iterable(parts)))
+                for t, own in zip(texts, parts):
+                    ways = lattice.ways(own, n)
                     ids = ways[0][1] if ways else []
                     back = lattice.decode(ids) if ids else ""
-                    for k, v in zip(out, (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), ways[0][0] if ways else 0.0, [w[0] for w in ways], [len(w[1]) for w in ways], hashlib.sha256(back.encode()).hexdigest(), back == (t or ""))):
+                    for k, v in zip(out, (len(ids), hashlib.sha256(array("i", ids)).hexdigest(), ways[0][0] if ways else 0.0, [w[0] for w in ways], [len(w[1]) for w in ways], hashlib.sha256(back.encode()).hexdigest(), back == (t or ""))):
                         out[k].append(v)
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.string(), pa.bool_())
                 yield pa.record_batch([p.column(0), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], ["doc_id", *out])
