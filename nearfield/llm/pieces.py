@@ -4,7 +4,7 @@ A text with a space before it is a lattice of pieces over code points; a code po
 pieces.  Forward Viterbi gives every place the score of the best way to it.  A-star runs backward from the end and takes
 that score as its heuristic; the heuristic is exact, so segmentations leave the heap best first.
 
-No piece holds a space after another character, so the lattice falls apart before each run of spaces: parts are solved
+No piece holds a space after another character or a line break, so the lattice falls apart there: parts are solved
 once and remembered.  A text's N best differ from the best in the N - 1 parts that lose least by their second best way (found by keeping two scores a place); A-star runs over those parts, and its own results are merged best first.
 
 The model file gives pieces and ranks (its scores are minus the rank).  A path's score is the sum of log probabilities of a Zipf law
@@ -16,7 +16,6 @@ text: no pieces.  Rows with one doc_id: a row each.  Empty table: empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import math
@@ -39,7 +38,6 @@ REMEMBER = 1_000_000
 WIDE = 28
 BASE = 0x9E3779B97F4A7C15
 IDS, SCORE, LOSS = map(itemgetter, range(3))
-PART = re.compile(r" *[^ ]+| +\Z")
 
 
 def read_model(path: str = MODEL) -> tuple[dict[str, tuple[int, float]], list[int], list[bytes | None]]:
@@ -71,6 +69,8 @@ class Lattice:
         self.prefixes: dict = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
         self.prefixes.update({p: (i, x, (i,)) for p, (i, x) in self.pieces.items()})
         self.worst = min(p[1] for p in self.pieces.values()) - 10
+        #: spaces and what follows; a line break is a part of its own unless some piece holds one
+        self.split = re.compile(r" *[^ ]+| +\Z" if any("\n" in p for p in self.pieces) else r" *[^ \n]+| +|\n").findall
         self.remember = remember
         self.known: dict = {}
         self.more: dict = {}
@@ -205,7 +205,6 @@ class Lattice:
                 at = np.where(live, step & 31, 0)
             for w, ids, k, a, b in zip(words, chain_.T.tolist(), used.tolist(), one[n].tolist(), (one[n] - two[n]).tolist()):
                 self.known[w] = (tuple(ids[:k][::-1]), a, b)
-        gc.freeze()  # known parts hold no cycles: no collection need walk them again
 
     def n_best(self, s: str, n: int, limit: float = math.inf) -> list[tuple[float, tuple[int, ...]]]:
         """The ``n`` best (score, ids), of those that lose ``limit`` at most: backward A-star on forward Viterbi scores."""
@@ -236,7 +235,7 @@ class Lattice:
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
         """The ``n`` best (score, ids) of a whole text, best first."""
-        return self.ways(PART.findall(" " + text), n) if text else []
+        return self.ways(self.split(" " + text), n) if text else []
 
     def ways(self, parts: list[str], n: int) -> list[tuple[float, list[int]]]:
         """``encode`` for a text's parts."""
@@ -296,7 +295,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
             for a in range(0, b.num_rows, 200):
                 p = b.slice(a, 100)
                 texts = p.column(place).to_pylist()
-                parts = [PART.findall(" " + t) if t else [] for t in texts]
+                parts = [lattice.split(" " + t) if t else [] for t in texts]
                 lattice.learn(set(chain.from_iterable(parts)))
                 ways = [lattice.ways(own, n) for own in parts]
                 ids = [w[0][1] if w else [] for w in ways]
@@ -318,7 +317,7 @@ def digests(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
                 p = b.slice(a, 500)
                 out: dict = {k: [] for k in ("n_pieces", "ids_sha256", "score", "nbest_scores", "nbest_pieces", "decoded_sha256", "round_trip")}
                 texts = p.column(1).to_pylist()
-                parts = [PART.findall(" " + t) if t else [] for t in texts]
+                parts = [lattice.split(" " + t) if t else [] for t in texts]
                 lattice.learn(set(chain.from_iterable(parts)))
                 for t, own in zip(texts, parts):
                     ways = lattice.ways(own, n)
