@@ -293,7 +293,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
         lattice = lattice_of(held.value)
         for b in batches:
             for a in range(0, b.num_rows, 200):
-                p = b.slice(a, 100)
+                p = b.slice(a, 200)
                 texts = p.column(place).to_pylist()
                 parts = [lattice.split(" " + t) if t else [] for t in texts]
                 lattice.learn(set(chain.from_iterable(parts)))
