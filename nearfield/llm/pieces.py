@@ -313,8 +313,8 @@ def digests(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
     def run(batches):
         lattice = lattice_of(held.value)
         for b in batches:
-            for a in range(0, b.num_rows, 500):
-                p = b.slice(a, 500)
+            for a in range(0, b.num_rows, 1000):
+                p = b.slice(a, 1000)
                 out: dict = {k: [] for k in ("n_pieces", "ids_sha256", "score", "nbest_scores", "nbest_pieces", "decoded_sha256", "round_trip")}
                 texts = p.column(1).to_pylist()
                 parts = [lattice.split(" " + t) if t else [] for t in texts]
