@@ -292,7 +292,7 @@ def uncorrelated_subset(spark, sf):
     return vectors(spark, sf).where("node_id % 10 = 0").select("node_id")
 
 
-@query("SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events")
+@query("SELECT round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events")
 def latency_percentiles(spark, sf):
     return evaluate.percentiles(spark.read.parquet(f"{sf}/events.parquet"), "value")
 
