@@ -7,7 +7,7 @@ cells hold its share of the vectors.  All vectors of those cells are reranked by
 Centroids are fitted on a bounded sample (``SAMPLE`` vectors with the smallest hash of their id); every vector is
 indexed.  Equal vectors are one entry with their smallest ids, as no more can be in a result.  Cells are dealt to groups of
 bounded size, a large cell to several (by a salt), and a query goes, packed with others, only to groups that hold its
-cells.  The driver knows the cells' sizes only: at most MOST**2 numbers.
+cells.  Queries are dealt to blocks of bounded size as well, each with its own copy of the groups: a task holds one group and one block.  The driver knows the cells' sizes only: at most MOST**2 numbers.
 
 Vectors null, of another dimension than most, zero, or holding null or non-finite components take no part.  Ties go to the smaller
 vec_id.  Rows with a query's vec_id are its own row; of several rows with one query vec_id the smallest vector asks.  Empty table: empty result.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SAMPLE, SHARE, LEAST, MOST, GROUP, TOP, EVERY = 20_000, 0.65, 64, 64, 8192, 5, 50
+SAMPLE, SHARE, LEAST, MOST, GROUP, ASKED, TOP, EVERY = 20_000, 0.65, 64, 64, 8192, 8192, 5, 50
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -66,7 +66,7 @@ def walk(near: np.ndarray, far: np.ndarray, sizes: np.ndarray, want: int) -> lis
     return out
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, share: float = SHARE, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, share: float = SHARE, sample: int = SAMPLE, block: int = ASKED) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each query (vec_id, embedding), its own vec_id left out."""
     spark = C.ready(vectors.sparkSession)
     shape = vectors.select(F.size("embedding").alias("dim")).where("dim > 0").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
@@ -77,10 +77,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, share: float
     real = F.col("embedding").cast("array<double>")
     finite = F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
     sound = (F.size("embedding") == dim) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(real, lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
-    kind = vectors.schema["embedding"].dataType.simpleString()
     fit_for = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), real.alias("v"))
     asks = queries.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), real.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    del kind
     few = W.partitionBy("v").orderBy("vec_id")
     entries = fit_for.withColumn("n", F.row_number().over(few)).where(F.col("n") <= top + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = C.cut(entries)
@@ -114,6 +112,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, share: float
     for r in placed.groupBy("cell").count().collect():  # a row a cell, MOST**2 at most
         sizes[r["cell"]] = r["count"]
     groups = max(C.shuffle_partitions(spark), n // GROUP)
+    asks = C.cut(asks)
+    blocks = -(-asks.count() // block)
     parts = np.maximum(1, -(-sizes // GROUP))
 
     def group_of(cell, salt):
@@ -127,7 +127,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, share: float
             cell = b.column("cell").to_numpy()
             first = np.array([x[0] for x in b.column("ids").to_pylist()], np.int64)
             salt = C.mix64(first.view(np.uint64)) % parts[cell].astype(np.uint64)
-            yield pa.record_batch([pa.array(group_of(cell, salt)), *b.columns], ["group", "v", "ids", "cell"])
+            for q in range(blocks):
+                yield pa.record_batch([pa.array(group_of(cell, salt) * blocks + q), *b.columns], ["group", "v", "ids", "cell"])
 
     def ask(batches):
         sizes, parts = known.value
@@ -149,9 +150,12 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, share: float
                     for g in group_of(np.full(parts[c], c), np.arange(parts[c])).tolist():
                         spread.setdefault(g, set()).add(c)
                 out = []
+                mine = C.mix64(ids.view(np.uint64)) % np.uint64(blocks)
                 for g, cells in spread.items():
-                    own = np.flatnonzero(asked[:, sorted(cells)].any(1))
-                    out.append((g, ids[own].tobytes(), x[own].tobytes(), np.packbits(asked[own], axis=1).tobytes()))
+                    told = asked[:, sorted(cells)].any(1)
+                    for q in np.unique(mine[told]).tolist():
+                        own = np.flatnonzero(told & (mine == q))
+                        out.append((g * blocks + q, ids[own].tobytes(), x[own].tobytes(), np.packbits(asked[own], axis=1).tobytes()))
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["group", "ids", "x", "cells"])
 
     def rerank(v: pa.Table, q: pa.Table) -> pa.Table:
