@@ -10,6 +10,7 @@ distance, not just overlap.
 All of it is array expressions on the JVM: one sort of the k-mers for occurrence numbers, one for the ring with the
 start points sorted in, no exploded rows.  The next document is found by dealing ids to ranges (bounds from a
 distributed quantile) with a copy of each range's first row handed to the range before it, so no window spans the table.
+Bounds and first rows are array literals, looked up by place, so the plan has the same size for any number of ranges.
 
 Null text: empty.  A text under k words: its whole word sequence is the one k-mer (for no words, of nothing); components wrap round the ring.
 Equal texts have equal fingerprints.  Null doc_id: after all others in descending order.  Rows with one doc_id follow each other by text.
@@ -79,26 +80,37 @@ def likeness(a: str, b: str, components: int = COMPONENTS) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(components - 1)), same), F.lit(0.0), lambda x, y: x + y) / components
 
 
+def _literal(values: list, kind: str) -> Column:
+    """An array literal: one node of the plan, however long it is."""
+    written = ",".join("" if x is None else repr(x) for x in values)
+    return F.split(F.lit(written), ",").try_cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<column>: of the next row by descending doc_id (then ascending text); after the last row, of the first."""
     spark = df.sparkSession
     n = C.shuffle_partitions(spark) * 2
-    bounds = df.select(F.percentile_approx(F.col("doc_id"), [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bounds = df.select(F.percentile_approx(F.col("doc_id"), _literal([i / n for i in range(1, n)], "double"), max(10_000, 8 * n))).first()[0] or []
     bounds = sorted(set(bounds), reverse=True)
-    where = F.size(F.filter(F.array(*(F.lit(b) for b in bounds)), lambda b: F.col("doc_id") < b)) if bounds else F.lit(0)
-    key = F.coalesce(where, F.lit(len(bounds))) if not bounds else F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(where)
-    ids = df.select(F.struct(F.col("doc_id").isNull().cast("int").alias("null"), -F.col("doc_id").cast("decimal(20,0)"), F.xxhash64("doc_id", "text").alias("h")).alias("o"), key.alias("range"))
+    step = int(len(bounds) ** 0.5) + 1
+    below = lambda x: F.size(F.filter(x, lambda b: F.col("doc_id") < b))
+    passed = below(_literal(bounds[step - 1 :: step], "bigint")) * step  # every step-th bound first, then those up to the next
+    key = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(passed + below(F.slice(_literal(bounds, "bigint"), passed + 1, step)))
+    df = df.withColumn("__own", key)
+    order = [F.col("doc_id").isNull().cast("int"), -F.col("doc_id").cast("decimal(20,0)"), F.xxhash64("doc_id", "text")]
+    ids = df.select(F.struct(*(c.alias(x) for c, x in zip(order, "abc"))).alias("o"), F.col("__own").alias("range"))
     firsts = [(x["range"], x["o"]) for x in ids.groupBy("range").agg(F.min("o").alias("o")).orderBy("range").collect()]  # a row a range, n at most
     if not firsts:
-        return df.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    order = [F.col("doc_id").isNull().cast("int"), -F.col("doc_id").cast("decimal(20,0)"), F.xxhash64("doc_id", "text")]
-    before = [firsts[i - 1][0] for i in range(len(firsts))]
-    own = F.struct(key.cast("int").alias("range"), F.lit(False).alias("copy"))
-    extra = F.lit(None).cast("struct<range:int,copy:boolean>")
-    for (r, o), b in zip(firsts, before):
-        same = (key == r) & (F.col("doc_id").eqNullSafe(F.lit(None if o[0] else int(-o[1])).cast("long"))) & (order[2] == F.lit(o[2]))
-        extra = F.when(same, F.struct(F.lit(b).cast("int").alias("range"), F.lit(True).alias("copy"))).otherwise(extra)
-    both = df.withColumn("__at", F.explode(F.filter(F.array(own, extra), lambda x: x.isNotNull()))).select("*", F.col("__at.range").alias("__range"), F.col("__at.copy").alias("__copy")).drop("__at")
+        return df.drop("__own").select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    first = {r: (o, firsts[i - 1][0]) for i, (r, o) in enumerate(firsts)}
+    every = [first.get(r) for r in range(len(bounds) + 1)]
+    ids_of = _literal([None if x is None or x[0][1] is None else int(-x[0][1]) for x in every], "bigint")
+    hash_of = _literal([x and x[0][2] for x in every], "bigint")
+    before = _literal([x and x[1] for x in every], "int")
+    is_first = F.col("doc_id").eqNullSafe(F.get(ids_of, "__own")) & (order[2] == F.get(hash_of, "__own"))
+    own = F.struct(F.col("__own").cast("int").alias("range"), F.lit(False).alias("copy"))
+    extra = F.when(is_first, F.struct(F.get(before, "__own").alias("range"), F.lit(True).alias("copy")))
+    both = df.withColumn("__at", F.explode(F.filter(F.array(own, extra), lambda x: x.isNotNull()))).select("*", F.col("__at.range").alias("__range"), F.col("__at.copy").alias("__copy")).drop("__at", "__own")
     w = W.partitionBy("__range").orderBy(F.col("__copy"), *order)
     out = both.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns), F.lead(F.lit(1)).over(w).alias("__has"))
     return out.where(~F.col("__copy")).drop("__range", "__copy", "__has")
