@@ -134,16 +134,19 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
     rows = found.where("base != ''").select("row", "same", "text", "base").join(strong, "row")
 
     def beside(batches):
+        empty: dict = {"row": [], "same": [], "value": [], "term": []}
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                out: dict = {"row": [], "same": [], "value": [], "term": []}
-                for r, same, t, s, vs in zip(*(x.to_pylist() for x in b.slice(at, 200).columns)):
-                    terms = sorted({_hash(w) for w, _, _ in _terms(t, _read(s))})
-                    for v in vs:
-                        out["term"] += terms
-                        for c, x in (("row", r), ("same", same), ("value", v)):
-                            out[c] += [x] * len(terms)
-                yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
+            out: dict = {k: [] for k in empty}
+            for r, same, t, s, vs in zip(*(x.to_pylist() for x in b.columns)):
+                terms = sorted({_hash(w) for w, _, _ in _terms(t, _read(s))})
+                for v in vs:
+                    out["term"] += terms
+                    for c, x in (("row", r), ("same", same), ("value", v)):
+                        out[c] += [x] * len(terms)
+                    if len(out["term"]) > 100_000:  # a text of many values and terms fills several batches
+                        yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
+                        out = {k: [] for k in empty}
+            yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     together = C.cut(rows.select("row", "same", "text", "base", "strong").mapInArrow(beside, "row long, same long, value long, term long"))
     pairs = together.groupBy("value", "term").agg(F.count(F.lit(1)).alias("c_et"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= support)
