@@ -1,6 +1,6 @@
 """Shared pieces of the training-data operators: sessions, scratch tables, blocks of whole texts, byte packing.
 
-A *block* is a set of whole documents chosen by a hash of ``doc_id``; its size in bytes is bounded (one document is
+A *block* is a set of whole documents chosen by a hash of ``doc_id`` and text; its size in bytes is bounded (one document is
 never split, so a block holds at least one).  Operators that look at windows of a text reduce inside a block first, so
 that a window shared by a third of all documents costs one entry a block and not one entry a document.
 """
@@ -60,8 +60,9 @@ def n_blocks(spark: SparkSession, total_bytes: int, block_bytes: int = BLOCK_BYT
     return max(shuffle_partitions(spark), total_bytes // block_bytes + 1)
 
 
-def block_of(n: int, key: str = "doc_id") -> Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+def block_of(n: int) -> Column:
+    """By id and text, so that rows without an id, or with one id, don't share a block."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
