@@ -118,6 +118,34 @@ def test_near(docs, rows, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_crowded_region(spark):
+    """Near copies, more of them in a block than it sends on, and a far member of their region."""
+    rnd = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(160):
+        w = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            w[rnd.randrange(300)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:230] + [f"y{i}" for i in range(70)])] + [f"alone {i} z{i} q{i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sets = [set(zip(w, w[1:])) for w in (t.split() for t in texts)]
+    up = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and up[a] != up[b]:
+                x, y = sorted((up[a], up[b]))
+                up = [x if u == y else u for u in up]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "4"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert [r["component_id"] for r in near_dedup.near_duplicates(docs, 2).orderBy("doc_id").collect()] == up
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+
+
 def test_mixing(docs, rows, empty):
     a, b = (sorted(map(tuple, mixing.mix(docs.repartition(n), block=16).select("doc_id", "source", "size", "source_size", "target", "taken").collect()), key=str) for n in (1, 6))
     assert a == b and len(a) == len(rows)
@@ -156,6 +184,8 @@ def test_fingerprints(docs, rows, spark, empty):
         if t == u:
             assert r["near_next"] == 1
     assert fingerprints.fingerprints(empty).count() == 0
+    blank = spark.createDataFrame([(None, "x y z"), (None, "x y w"), (3, "a b"), (1, None)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or -1, r["edited"]) for r in fingerprints.fingerprints(blank).collect())[2:] == [(1, ""), (3, "a ")]
     w = "a b c d e f g h i j k l m n o p q r s t".split()
     shuffled = w[10:] + w[:10]
     two = spark.createDataFrame([(2, " ".join(w)), (1, " ".join(shuffled))], "doc_id long, text string")
@@ -231,6 +261,8 @@ def test_multi_index(spark):
         hit += len({i for i, _ in hits} & set(np.lexsort((np.arange(400), -s))[:5].tolist()))
         assert all(abs(s[i] - w) < 1e-9 for i, w in hits)
     assert hit >= 0.9 * 5 * len(got)
+    blocks = multi_index.search(v, v.where("vec_id % 50 = 0"), block=3).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in blocks] == [(q, i, pytest.approx(w)) for q in sorted(got) for i, w in got[q]]
     order = multi_index.walk(np.array([3.0, 1.0, 2.0]), np.array([0.5, 0.1]), np.ones(6, int), 6)
     assert order == [3, 2, 5, 4, 1, 0]
     assert multi_index.search(v.limit(0), v.limit(0)).count() == 0 and multi_index.search(v.where("vec_id < 3"), v.where("vec_id = 0")).count() == 2
