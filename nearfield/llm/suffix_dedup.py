@@ -14,6 +14,10 @@ repeats exactly if another fragment is in the same right and the same left class
 Equality inside an order is by bytes, never by hash.  Blocks of whole documents (see ``common``) send each fragment
 once, so copies held by a third of all documents cost one entry a block.
 
+An anchor with more than HOT fragments (the edges of a passage that very many documents share) doesn't go to one task:
+its windows are dealt to tasks by their own 128-bit hash, each once a block, and counted there.  So what meets in a task is
+bounded by the number of blocks, not of documents; equality of these windows is by that hash.
+
 Null text: empty.  Texts under 200 bytes keep everything.  Rows with one doc_id get a row each and count as separate
 places.  Empty table: empty result.  Extra columns are ignored.
 """
@@ -22,6 +26,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +36,8 @@ from . import common as C
 LENGTH = 200
 GRAM = 64
 SHALLOW = 64
+#: fragments of one anchor that are ordered in one task
+HOT = 4096
 BASE = 0x9E3779B97F4A7C15
 SLICE = 1 << 19
 
@@ -219,7 +227,7 @@ def repeated_starts(fragments: list[bytes], left: np.ndarray, first: np.ndarray,
     return hits
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = C.BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = C.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (maximal removed runs, end exclusive)."""
     spark = C.ready(docs.sparkSession)
     total = C.text_bytes(docs)
@@ -233,53 +241,99 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 
     def count(t: pa.Table) -> pa.Table:
         _, _, text, ends = laid(t)
-        h, place, _, _ = anchors(text, ends, length, gram)
-        place, first = np.unique(place, return_index=True)
-        h, n = np.unique(h[first], return_counts=True)
-        found, bounds = C.by_bucket(h, buckets)
-        return pa.table({"bucket": found, "block": pa.array([t["block"][0].as_py()] * len(found), pa.int32()), "once": pa.array([C.pack_sorted(h[a:b]) for a, b in zip(bounds, bounds[1:]) if b > a], pa.binary()), "again": pa.array([np.packbits(n[a:b] > 1).tobytes() for a, b in zip(bounds, bounds[1:]) if b > a], pa.binary())})
+        h, place, first, last = anchors(text, ends, length, gram)
+        _, one = np.unique(place, return_index=True)
+        h, first, last = h[one], first[one], last[one]
+        own, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        # distinct fragments of each anchor; a fragment with copies counts as two
+        n = np.minimum(times, 2)
+        some = np.flatnonzero(times[which] > 2)
+        if len(some):
+            raw = memoryview(text)
+            of = [xxhash.xxh3_64_intdigest(raw[a : b + length]) for a, b in zip(first[some].tolist(), last[some].tolist())]
+            pairs = np.unique(np.stack([which[some].astype(np.uint64), np.array(of, np.uint64)], 1), axis=0)[:, 0]
+            n = np.maximum(n, np.bincount(pairs.astype(np.int64), minlength=len(own)))
+        n = np.minimum(n, 65535).astype(np.uint16)
+        found, bounds = C.by_bucket(own, buckets)
+        cuts = [(a, b) for a, b in zip(bounds, bounds[1:]) if b > a]
+        return pa.table({"bucket": found, "block": pa.array([t["block"][0].as_py()] * len(found), pa.int32()), "once": pa.array([C.pack_sorted(own[a:b]) for a, b in cuts], pa.binary()), "n": pa.array([n[a:b].tobytes() for a, b in cuts], pa.binary())})
 
     def survive(t: pa.Table) -> pa.Table:
         hs, ns, bs = [], [], []
-        for block, once, again in zip(*(t[c].to_pylist() for c in ("block", "once", "again"))):
+        for block, once, n in zip(*(t[c].to_pylist() for c in ("block", "once", "n"))):
             h = C.unpack_sorted(once)
             hs.append(h)
-            ns.append(1 + np.unpackbits(np.frombuffer(again, np.uint8))[: len(h)].astype(np.int64))
+            ns.append(np.frombuffer(n, np.uint16).astype(np.int64))
             bs.append(np.full(len(h), block, np.int32))
         h, n, b = np.concatenate(hs), np.concatenate(ns), np.concatenate(bs)
         order = np.argsort(h, kind="stable")
         h, n, b = h[order], n[order], b[order]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         times = np.repeat(np.add.reduceat(n, first), np.diff(np.r_[first, len(h)]))
-        h, b = h[times > 1], b[times > 1]
-        order = np.lexsort((h, b))
-        h, b = h[order], b[order]
-        own, first = np.unique(b, return_index=True)
+        h, b, many = h[times > 1], b[times > 1], times[times > 1] > hot
+        order = np.lexsort((h, many, b))
+        h, b, many = h[order], b[order], many[order]
+        first = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (many[1:] != many[:-1])]) if len(b) else np.zeros(0, np.int64)
         bounds = np.append(first, len(b))
-        return pa.table({"block": pa.array(own, pa.int32()), "hashes": pa.array([C.pack_sorted(h[x:y]) for x, y in zip(bounds, bounds[1:])], pa.binary())})
+        return pa.table({"block": pa.array(b[first], pa.int32()), "hot": pa.array(many[first], pa.bool_()), "hashes": pa.array([C.pack_sorted(h[x:y]) for x, y in zip(bounds, bounds[1:])], pa.binary())})
 
     def cut_out(t: pa.Table, told: pa.Table) -> pa.Table:
         schema = pa.schema([("bucket", pa.int64()), ("block", pa.int32()), ("hash", pa.binary()), ("text", pa.binary()), ("shape", pa.binary()), ("many", pa.binary()), ("places", pa.binary())])
-        again = [C.unpack_sorted(x) for x in told["hashes"].to_pylist()]
-        if not again:
+        if not told.num_rows or not t.num_rows:
             return schema.empty_table()
+        again: list = [np.zeros(0, np.uint64)]
+        crowded: list = [np.zeros(0, np.uint64)]
+        for x, many in zip(told["hashes"].to_pylist(), told["hot"].to_pylist()):
+            (crowded if many else again).append(C.unpack_sorted(x))
+        crowded = np.concatenate(crowded)
         _, _, text, ends = laid(t)
         h, place, first, last = anchors(text, ends, length, gram)
-        own = np.flatnonzero(np.isin(h, np.concatenate(again)))
+        own = np.flatnonzero(np.isin(h, np.concatenate([*again, crowded])))
         raw = text.tobytes()
         groups: dict = {}
         for i in own.tolist():
             a, p, b = int(first[i]), int(place[i]), int(last[i])
             groups.setdefault((int(h[i]), raw[a : b + length], p - a, p - b), []).append(a)
         parts: dict = {}
+        windows: dict = {}
+        crowded = set(crowded.tolist())
         for (x, f, up, down), places in groups.items():
-            parts.setdefault(((x >> 32) * buckets) >> 32, []).append((x, f, up, down, places))
+            if x not in crowded:
+                parts.setdefault(((x >> 32) * buckets) >> 32, []).append((x, f, up, down, places))
+                continue
+            for o in range(len(f) - length + 1):
+                windows.setdefault(xxhash.xxh3_128_digest(f[o : o + length]), []).extend(a + o for a in places)
         rows = []
+        apart: dict = {}
+        for x, places in windows.items():
+            apart.setdefault((int.from_bytes(x[:4], "little") * buckets) >> 32, []).append((x, places))
+        for bucket, items in apart.items():  # no text: counted by hash
+            rows.append({"bucket": bucket, "block": t["block"][0].as_py(), "hash": b"".join(x for x, _ in items), "many": np.array([len(p) for _, p in items], np.uint32).tobytes(), "places": np.array([p for _, q in items for p in q], np.uint32).tobytes()})
         for bucket, items in parts.items():
             rows.append({"bucket": bucket, "block": t["block"][0].as_py(), "hash": np.array([x[0] for x in items], np.uint64).tobytes(), "text": b"".join(x[1] for x in items), "shape": np.array([(len(x[1]), x[2], x[3]) for x in items], np.uint16).tobytes(), "many": np.array([len(x[4]) for x in items], np.uint32).tobytes(), "places": np.array([p for x in items for p in x[4]], np.uint32).tobytes()})
         return pa.Table.from_pylist(rows, schema=schema)
 
     def compare(t: pa.Table) -> pa.Table:
+        starts: dict = {}
+        apart = t.filter(pa.compute.is_null(t["text"]))
+        t = t.filter(pa.compute.is_valid(t["text"]))
+        if apart.num_rows:
+            key, many, places = (np.frombuffer(b"".join(apart[c].to_pylist()), kind) for c, kind in (("hash", np.uint64), ("many", np.uint32), ("places", np.uint32)))
+            key = key.reshape(-1, 2)
+            block = np.repeat(apart["block"].to_numpy(), pa.compute.binary_length(apart["many"]).to_numpy() // 4)
+            order = np.lexsort((key[:, 1], key[:, 0]))
+            first = np.flatnonzero(np.r_[True, (key[order][1:] != key[order][:-1]).any(1)])
+            times = np.repeat(np.add.reduceat(many[order].astype(np.int64), first), np.diff(np.r_[first, len(order)]))
+            again = np.zeros(len(order), bool)
+            again[order] = times > 1
+            again, block = np.repeat(again, many), np.repeat(block, many)
+            places, block = places[again].astype(np.int64), block[again]
+            order = np.lexsort((places, block))
+            places, block = places[order], block[order]
+            edge = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (np.diff(places) > 1)]) if len(places) else np.zeros(0, np.int64)
+            runs = np.stack([places[edge], places[np.r_[edge[1:], len(places)] - 1]], 1) if len(edge) else np.zeros((0, 2), np.int64)
+            for b in np.unique(block[edge]).tolist():
+                starts[b] = [runs[block[edge] == b]]
         seen: dict = {}
         for block, x, text, shape, many, places in zip(*(t[c].to_pylist() for c in ("block", "hash", "text", "shape", "many", "places"))):
             shape, places = np.frombuffer(shape, np.uint16).reshape(-1, 3).tolist(), np.frombuffer(places, np.uint32)
@@ -296,7 +350,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         alone = [k for k in keys if peers[k[0]] == 1]
         many = np.array([len(seen[k]) > 1 or len(seen[k][0][1]) > 1 for k in some], bool)
         hits = repeated_starts([k[1] for k in some], np.array([k[2] for k in some], np.int64), np.array([k[2] for k in some], np.int64), np.array([k[3] for k in some], np.int64), many, length) if some else []
-        starts: dict = {}
         for k, offsets in [*zip(some, hits), *((k, range(k[3], k[2] + 1)) for k in alone)]:
             if not len(offsets):
                 continue
@@ -330,8 +383,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 
     by_block = docs.groupBy("block")
-    sent = by_block.applyInArrow(count, "bucket long, block int, once binary, again binary")
-    told = sent.groupBy("bucket").applyInArrow(survive, "block int, hashes binary")
+    sent = by_block.applyInArrow(count, "bucket long, block int, once binary, n binary")
+    told = sent.groupBy("bucket").applyInArrow(survive, "block int, hot boolean, hashes binary")
     found = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_out, "bucket long, block int, hash binary, text binary, shape binary, many binary, places binary")
     runs = found.groupBy("bucket").applyInArrow(compare, "block int, runs binary")
     return docs.groupBy("block").cogroup(runs.groupBy("block")).applyInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>")

@@ -65,10 +65,11 @@ def test_substring(docs, rows, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def test_suffix(docs, rows, empty):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 4, 0])
+def test_suffix(docs, rows, empty, hot):
     raw = {i: (t or "").encode() for i, t in rows}
     n = collections.Counter(b[j : j + 200] for b in raw.values() for j in range(len(b) - 199))
-    for r in suffix_dedup.remove_repeats(docs, block_bytes=2000).collect():
+    for r in suffix_dedup.remove_repeats(docs, block_bytes=2000, hot=hot).collect():
         b = raw[r["doc_id"]]
         gone = bytearray(len(b))
         for j in range(len(b) - 199):
