@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..functions.distance import distance
 from ..shipping import ready
@@ -14,6 +15,8 @@ from . import filters
 
 #: a query frame of so many rows at most is broadcast; a larger one is dealt in blocks of so many rows
 BROADCAST_ROWS, BLOCK_ROWS = 4096, 1024
+#: pairs of a block scored together
+PAIRS = 1 << 16
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -41,34 +44,90 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
     return top_k(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "node_id", "distance")
 
 
+def _as_expressed(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of paired rows, bit for bit as the column expressions have them: sums in double, in component order."""
+
+    def total(a, b, term):
+        s = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            s += term(a[:, j].astype(np.float64), b[:, j].astype(np.float64))
+        return s
+
+    if metric == "l2":
+        return np.sqrt(total(q, v, lambda x, y: (x - y) * (x - y)))
+    product = lambda x, y: x * y
+    na, nb = np.sqrt(total(q, q, product)), np.sqrt(total(v, v, product))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where((na == 0) | (nb == 0), 1.0, 1.0 - total(q, v, product) / (na * nb))
+
+
+def block_hits(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row of q, row of v): each query's k smallest by (distance, id) of a block.
+
+    Of equal vectors the k smallest ids take part.  A matrix product in double bounds each distance from both sides; what lies
+    above the k-th upper bound is cut, and where more than k are left, they are scored as the expressions do and cut by (distance, id).
+    """
+    _, same = np.unique(np.ascontiguousarray(v).view(np.dtype((np.void, v.dtype.itemsize * v.shape[1]))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, same))
+    first = np.flatnonzero(np.r_[True, np.diff(same[order]) != 0])
+    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    some = np.sort(order[nth < k])
+    a, b = q.astype(np.float64), v[some].astype(np.float64)
+    with np.errstate(invalid="ignore", over="ignore"):
+        na, nb = (np.sqrt((x * x).sum(1)) for x in (a, b))
+        if metric == "cosine":
+            a, b = (x / np.where(n == 0, 1.0, n)[:, None] for x, n in ((a, na), (b, nb)))
+            na, nb = np.ones(len(a)), np.ones(len(b))
+        d = -2 * a @ b.T + (0.0 if metric == "cosine" else (b * b).sum(1))  # a zero vector's cosine is 0
+        # rounding of the product, of the expression, and of its root: under (n + 8) units each of (|q| + |v|)**2
+        slack = 4 * (a.shape[1] + 8) * np.finfo(np.float64).eps * (na[:, None] + nb) ** 2
+        low, high = d - slack, d + slack
+    if len(some) > k:
+        near = ~(low > np.partition(high, k - 1, axis=1)[:, k - 1 : k])  # what is no number stays
+    else:
+        near = np.ones(d.shape, bool)
+    row, col = np.nonzero(near)
+    crowded = near.sum(1) > k
+    if crowded.any():
+        again = crowded[row]
+        done = [row[~again]], [col[~again]]
+        r, c = row[again], col[again]
+        exact = np.concatenate([_as_expressed(q[r[i : i + PAIRS]], v[some[c[i : i + PAIRS]]], metric) for i in range(0, len(r), PAIRS)])
+        order = np.lexsort((ids[some[c]], exact, r))
+        r, c = r[order], c[order]
+        first = np.flatnonzero(np.r_[True, np.diff(r) != 0])
+        keep = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)])) < k
+        row, col = np.concatenate([*done[0], r[keep]]), np.concatenate([*done[1], c[keep]])
+    return row, some[col]
+
+
 def knn_arrow(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", spec: dict | None = None) -> DataFrame:
-    """The same hits from matrix products: queries in blocks, each batch of vectors keeps its k best and some spare, survivors are scored again exactly."""
+    """The same hits from matrix products: queries in blocks, each block of vectors keeps its k best by (distance, node_id), survivors are scored again."""
     spark = ready(vectors.sparkSession)
     few = is_small(queries)
 
-    def pack(batches):
-        for b in batches:
-            for a in range(0, b.num_rows, BLOCK_ROWS):
-                p = b.slice(a, BLOCK_ROWS)
-                x = np.array(p.column(1).to_pylist(), np.float32)
-                yield pa.record_batch([pa.array([p.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "x"])
+    # single precision only where the rows are: the cut is made in double
+    kinds = {c: np.float32 if df.schema[c].dataType.elementType == FloatType() else np.float64 for df, c in ((queries, "query"), (vectors, "embedding"))}
 
     def packed(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
-        return df.select(F.col(key).cast("long"), value).mapInArrow(pack, "ids binary, x binary").toDF(f"{to}_ids", f"{to}_x")
+        kind = kinds[value]
+
+        def pack(batches):
+            for b in batches:
+                for a in range(0, b.num_rows, BLOCK_ROWS):
+                    p = b.slice(a, BLOCK_ROWS)
+                    x = np.array(p.column(1).to_pylist(), kind)
+                    yield pa.record_batch([pa.array([p.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "x"])
 
-    spare = k + 8  # single precision may swap close neighbours
+        return df.select(F.col(key).cast("long"), value).mapInArrow(pack, "ids binary, x binary").toDF(f"{to}_ids", f"{to}_x")
 
     def score(batches):
         for b in batches:
             for qi, qx, vi, vx in zip(*(c.to_pylist() for c in b.columns)):
                 qi, vi = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
-                q, v = (np.frombuffer(x, np.float32).reshape(len(i), -1) for x, i in ((qx, qi), (vx, vi)))
-                if metric == "cosine":
-                    q, v = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30) for x in (q, v))
-                d = -2 * q @ v.T + (v * v).sum(1)
-                m = min(spare, len(vi))
-                near = np.argpartition(d, m - 1, axis=1)[:, :m]
-                yield pa.record_batch([np.repeat(qi, m), vi[near].ravel()], ["query_id", "node_id"])
+                q, v = (np.frombuffer(x, kinds[c]).reshape(len(i), -1) for x, i, c in ((qx, qi, "query"), (vx, vi, "embedding")))
+                row, col = block_hits(q, v, vi, k, metric)
+                yield pa.record_batch([qi[row], vi[col]], ["query_id", "node_id"])
 
     kept = filters.where(vectors, spec).select("node_id", "embedding")
     blocks = packed(queries, "query_id", "query", "q")

@@ -142,3 +142,18 @@ def test_exact_edges(spark):
     assert e.search([1, 0]) == []
     e.add(0, [0, 0]), e.add(1, [2, 0]), e.add(2, [1, 0])
     assert e.search([1, 0], 5) == [(1, 0.0), (2, 0.0), (0, 1.0)]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_kernel_keeps_copies_and_near_copies(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 16)).astype(np.float32)
+    x[::3] = x[0]  # a hot vector
+    x[1:900:3] = x[1] + (1e-5 * rng.standard_normal((300, 16))).astype(np.float32)  # tight near copies
+    x[2], x[5] = 0, 0
+    v = frame(spark, x).coalesce(1).persist()
+    q = frame(spark, x[[0, 1, 2, 4, 8, 300]], "query_id", "query")
+    want = exact.knn(v, q, 10, metric).orderBy("query_id", "rank").collect()
+    assert exact.knn_arrow(v, q, 10, metric).orderBy("query_id", "rank").collect() == want
+    if metric == "l2":
+        assert [r["node_id"] for r in want[:10]] == list(range(0, 30, 3))
