@@ -34,10 +34,13 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: its taken words over its size, rounded (a text cut by its source's target counts from one half)."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.round(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    times = taken.where("times > 0").groupBy("doc_id").agg(F.max("times").alias("__times"))
-    return docs.join(times.hint("merge"), "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    """Each document as often as the mix takes it: its taken words over its size, rounded (a text cut by its source's target counts from one half).
+
+    Rows without an id, or with one id, are counted each for itself.
+    """
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    taken = mixing.mix(docs, keep=True).where("taken > 0").select("given", times.alias("times")).where("times > 0")
+    return taken.select("given", F.explode(F.sequence(F.lit(1), F.col("times")))).select("given.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

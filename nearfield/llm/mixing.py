@@ -12,7 +12,7 @@ the last point (the sequence's discrepancy) is appended.
 Ranks and stream offsets are prefix sums in two levels (sums of chunks or hash ranges first), so a source with a third
 of all rows is never in one task; the per-source table has one row a source.
 
-Null text: size 0, taken 0.  Null source: a source of its own, last.  Several rows with one doc_id: a row each.  Empty table: empty
+Null text: size 0, taken 0.  Null source: a source of its own, last.  Null doc_id, several rows with one doc_id: a row each.  Empty table: empty
 result.  Extra columns are ignored.  Nothing is random: reruns agree.
 """
 
@@ -33,6 +33,10 @@ CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _quoted(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def _fraction(x: Column) -> Column:
     return x - F.floor(x)
 
@@ -74,10 +78,17 @@ def schedule(per: DataFrame, n_slots: int, block: int) -> DataFrame:
     return ranked.where("rank < slots").select("slot", "place", "rank").union(lack)
 
 
-def mix(docs: DataFrame, block: int = BLOCK_WORDS, epochs: int = EPOCHS, weights: tuple = (1, 2, 3)) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot (of the schedule, null if none is drawn); a row for each row of ``docs``."""
+def mix(docs: DataFrame, block: int = BLOCK_WORDS, epochs: int = EPOCHS, weights: tuple = (1, 2, 3), keep: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot (of the schedule, null if none is drawn); a row for each row of ``docs``.
+
+    With ``keep``, each row of ``docs`` as well, as the struct ``given``: found again by a number of the row, not by its doc_id.
+    """
     spark = C.ready(docs.sparkSession)
-    sized = C.cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("shuffle")))
+    if keep:
+        whole = C.cut(docs.select(F.struct(*map(_quoted, docs.columns)).alias("given"), F.monotonically_increasing_id().alias("row")))
+        docs = whole.select("given.doc_id", "given.source", "given.text", "row")
+    row = F.col("row") if keep else F.lit(0).cast("long")
+    sized = C.cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("shuffle"), row.alias("row")))
     per = C.cut(targets(sized, weights, epochs))
     total = per.select(F.max("all_size")).first()[0] or 0
     slots = schedule(per, -(-total // block), block)
@@ -85,7 +96,7 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, epochs: int = EPOCHS, weights
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     ranges = sums.select("source", "range", before.alias("base")).join(per, sums["source"].eqNullSafe(per["source"])).select(sums["source"].alias("s"), F.col("range").alias("r"), "base", "place", "source_size", "target", "need")
-    within = W.partitionBy("place", "range").orderBy("shuffle", "doc_id", "size")
+    within = W.partitionBy("place", "range").orderBy("shuffle", "doc_id", "size", "row")
     laid = sized.join(ranges, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     laid = laid.withColumn("line", F.row_number().over(within)).withColumn("off", F.col("base") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     start = F.col("epoch") * F.col("source_size") + F.col("off")
@@ -94,7 +105,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, epochs: int = EPOCHS, weights
     pieces = per_epoch.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))))
     words = F.least(F.col("stop"), (F.col("rank") + 1) * block) - F.greatest(F.col("start"), F.col("rank") * block)
     drawn = pieces.join(slots, ["place", "rank"]).groupBy("place", "range", "line").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"))
-    return laid.join(drawn, ["place", "range", "line"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
+    out = laid.join(drawn, ["place", "range", "line"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *(["row"] if keep else []))
+    return out.join(whole.hint("merge"), "row").drop("row") if keep else out
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

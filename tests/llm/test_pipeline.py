@@ -24,3 +24,18 @@ def test_stages(spark):
         else:
             assert 0 < after.count() < before.count()
         before = after
+
+
+def test_mix_without_ids_and_with_one_id(spark):
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, text(i, 5 + 40 * (i % 4)), "ab"[i % 2]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    rest = [(r["given"]["text"], int(r["taken"] / r["size"] + 0.5)) for r in mixing.mix(docs, keep=True).collect()]
+    got = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert got.columns == docs.columns and len(rest) == len(rows)
+    assert {r["text"]: r["count"] for r in got.groupBy("text").count().collect()} == {t: n for t, n in rest if n}
+    assert got.where("doc_id IS NULL").select("text").distinct().count() == sum(n > 0 for t, n in rest if t in {x for i, x, _ in rows if i is None}) > 10
+    for source in "ab":
+        words = sum(len(r[0].split()) for r in got.where(f"source = '{source}'").select("text").collect())
+        target = mixing.mix(docs).where(f"source = '{source}'").first()["target"]
+        assert abs(words - target) <= 125  # but for the text at the target's end
