@@ -3,11 +3,12 @@
 Base values (e-mail, ip, card, phone) are the protected entities.  Over the whole corpus, N rows, a value e is in c(e) rows, a
 term t in c(t), both in c(e, t).  A term's disclosure of e is PMI(e; t) / IC(e) with PMI = log2(N c(e,t) / (c(e) c(t))) and
 IC(e) = -log2(c(e) / N): 1 when seeing the term tells the value.  Terms at ``disclosure`` or more, seen with the value in ``support``
-different texts at least, are spans of kind ``term`` in the rows that hold both; base spans are never touched.
+different texts at least, are spans of kind ``term`` wherever they stand, beside the value or not; base spans are never touched.
 
 Counts run over all rows: term counts are combined in each batch and shuffled as 64-bit hashes, co-occurrence only for
-rows that hold a value of enough support.  Flags come back as (row, term) rows, so a value held by a third of all rows
-multiplies nothing.
+rows that hold a value of enough support.  Telling terms are looked up in all rows: a bitmap of fixed size of their hashes goes to every
+task, what passes it is joined with the terms themselves (in SALTS parts, as a term may stand in a third of all rows),
+and spans come back by row.
 
 Null text: empty.  Rows with one doc_id get a row each.  Null doc_id is kept.  Empty table: empty result.  Extra columns are ignored, or
 carried by ``sanitise``.
@@ -28,6 +29,8 @@ from . import common as C
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT, DISCLOSURE = 3, 0.8
+#: bits of the bitmap that thins terms before their exchange, and parts of a term in it
+BITS, SALTS = 1 << 26, 32
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -121,9 +124,8 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
                 spans = [base_spans(t) for t in texts]
                 n = [Counter(k for _, k, _ in s) for s in spans]
                 values = [sorted({_hash(f"{KINDS[k]}:{t[a:b]}") for a, k, b in s}) for t, s in zip(texts, spans)]
-                kept = p.column(1) if whole else pa.array([t if s else None for t, s in zip(texts, spans)], pa.string())
                 yield pa.record_batch(
-                    [p.column(0), *(pa.array([c[k] for c in n], pa.int64()) for k in range(4)), pa.array(map(_written, spans), pa.string()), pa.array(values, pa.list_(pa.int64())), pa.array([_hash(t) if s else None for t, s in zip(texts, spans)], pa.int64()), kept, p.column(2)],
+                    [p.column(0), *(pa.array([c[k] for c in n], pa.int64()) for k in range(4)), pa.array(map(_written, spans), pa.string()), pa.array(values, pa.list_(pa.int64())), pa.array([_hash(t) if s else None for t, s in zip(texts, spans)], pa.int64()), p.column(1), p.column(2)],
                     ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "values", "same", "text", "rest"],
                 )
 
@@ -132,23 +134,23 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
     counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("c_e"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= support).select("value", "c_e")
     strong = held.join(counts, "value").groupBy("row").agg(F.collect_list("value").alias("strong"))
     rows = found.where("base != ''").select("row", "same", "text", "base").join(strong, "row")
+    pair = ("same", "value", "term")
 
     def beside(batches):
-        empty: dict = {"row": [], "same": [], "value": [], "term": []}
         for b in batches:
-            out: dict = {k: [] for k in empty}
-            for r, same, t, s, vs in zip(*(x.to_pylist() for x in b.columns)):
+            out: dict = {k: [] for k in pair}
+            for same, t, s, vs in zip(*(x.to_pylist() for x in b.columns)):
                 terms = sorted({_hash(w) for w, _, _ in _terms(t, _read(s))})
                 for v in vs:
                     out["term"] += terms
-                    for c, x in (("row", r), ("same", same), ("value", v)):
+                    for c, x in (("same", same), ("value", v)):
                         out[c] += [x] * len(terms)
                     if len(out["term"]) > 100_000:  # a text of many values and terms fills several batches
                         yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
-                        out = {k: [] for k in empty}
+                        out = {k: [] for k in pair}
             yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    together = C.cut(rows.select("row", "same", "text", "base", "strong").mapInArrow(beside, "row long, same long, value long, term long"))
+    together = rows.select("same", "text", "base", "strong").mapInArrow(beside, "same long, value long, term long")
     pairs = together.groupBy("value", "term").agg(F.count(F.lit(1)).alias("c_et"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= support)
 
     def count_terms(batches):
@@ -165,8 +167,37 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
     df = docs.select("text").mapInArrow(count_terms, "term long, n int").groupBy("term").agg(F.sum("n").alias("c_t"))
     total = F.lit(found.count())
     pmi = F.log2(total * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    telling = pairs.join(df, "term").join(counts, "value").where(pmi >= disclosure * F.log2(total / F.col("c_e"))).where(F.col("c_e") < total).select("value", "term")
-    flags = together.join(telling, ["value", "term"], "left_semi").groupBy("row").agg(F.collect_set("term").alias("flags"))
+    telling = pairs.join(df, "term").join(counts, "value").where(pmi >= disclosure * F.log2(total / F.col("c_e"))).where(F.col("c_e") < total)
+    telling = C.cut(telling.select("term").distinct())
+    bit = F.pmod("term", F.lit(BITS))
+    maps = telling.groupBy((bit / 32768).cast("int").alias("part")).agg(F.expr(f"bitmap_construct_agg(pmod(term, {BITS}) % 32768)").alias("bits")).collect()
+    bitmap = bytearray(BITS // 8)
+    for m in maps:
+        bitmap[4096 * m["part"] : 4096 * (m["part"] + 1)] = m["bits"]
+    sent = spark.sparkContext.broadcast(bytes(bitmap))
+
+    def passing(batches):
+        """(row, term, its starts and ends) of terms in the bitmap."""
+        bits = sent.value
+        for b in batches:
+            out: dict = {"row": [], "term": [], "at": []}
+            for row, t, s in zip(*(x.to_pylist() for x in b.columns)):
+                at: dict = {}
+                for w, x, y in _terms(t, _read(s)) if t else ():
+                    at.setdefault(w, []).extend((x, y))
+                for w, places in at.items():
+                    h = _hash(w)
+                    if bits[(i := h % BITS) >> 3] >> (i & 7) & 1:
+                        for k, v in (("row", row), ("term", h), ("at", places)):
+                            out[k].append(v)
+            yield pa.record_batch([pa.array(out["row"], pa.int64()), pa.array(out["term"], pa.int64()), pa.array(out["at"], pa.list_(pa.int32()))], list(out))
+
+    salted = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if maps:
+        seen = found.select("row", "text", "base").mapInArrow(passing, "row long, term long, at array<int>").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+        flags = seen.join(salted, ["term", "salt"], "left_semi").groupBy("row").agg(F.flatten(F.collect_list("at")).alias("flags"))
+    else:
+        flags = found.limit(0).select("row", F.array().cast("array<int>").alias("flags"))
 
     def mark(batches):
         for b in batches:
@@ -176,15 +207,14 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
                 for s, t, flags in zip(p.column("base").to_pylist(), p.column("text").to_pylist(), p.column("flags").to_pylist()):
                     spans = _read(s)
                     if flags:
-                        told = set(flags)
-                        spans = sorted([*spans, *((x, 4, y) for w, x, y in _terms(t, spans) if _hash(w) in told)])
+                        spans = sorted([*spans, *((x, 4, y) for x, y in zip(flags[::2], flags[1::2]))])
                     spans_of.append(_written(spans))
                     n_term.append(sum(k == 4 for _, k, _ in spans))
                     texts.append(_masked(t, spans) if whole and spans else t)
                 names = [*(c for c in p.schema.names if c not in ("flags", "text")), "spans", "n_term", "text"]
                 yield pa.record_batch([*(p.column(c) for c in names[:-3]), pa.array(spans_of, pa.string()), pa.array(n_term, pa.int64()), pa.array(texts if whole else [None] * len(texts), pa.string())], names)
 
-    told = found.select("row", "doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "text", "rest").join(flags, "row", "left").drop("row")
+    told = found.select("row", "doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", (F.col("text") if whole else F.lit(None).cast("string")).alias("text"), "rest").join(flags, "row", "left").drop("row")
     out = told.mapInArrow(mark, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, rest {rest}, spans string, n_term long, text string")
     return out.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), "n_term", "base", "spans", *(["text"] if whole else []), *(F.col(f"rest.{c}").alias(c) for c in carried))
 

@@ -207,6 +207,17 @@ def test_pii(spark, empty):
     assert pii.find(empty).count() == 0 and pii.sanitise(empty).columns == empty.columns
 
 
+def test_pii_term_without_its_value(spark):
+    told = [f"the zorblatt {n} said write to q@ex.org now" for n in ("alpha", "beta", "gamma", "delta")]
+    alone = ["here Zorblatt stands alone, zorblatt again", "mail r@ex.org for the zorblatt"]
+    docs = spark.createDataFrame(list(enumerate([*told, *alone, None, *["the plain text said write to now"] * 60])), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in pii.find(docs).collect()}
+    assert (got[4]["spans"], got[4]["n_term"]) == ("term:5:13,term:28:36", 2)
+    assert got[5]["spans"] == "email:5:13,term:22:30" and got[0]["n_term"] == 1 and not any(got[i]["spans"] for i in range(6, 67))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+    assert clean[4] == "here <TERM> stands alone, <TERM> again" and clean[5] == "mail <EMAIL> for the <TERM>" and clean[6] is None
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     got = {r["doc_id"]: r for r in quality.op9_quality(spark, sf).collect()}
