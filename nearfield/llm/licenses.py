@@ -1,22 +1,29 @@
 """License scans (operator 7, native): normalised text against licence templates by Dice over word bigrams.
 
-Units of a document are its whole text and each of its lines.  A unit is lower-cased (A-Z), everything but letters a-z and digits
+Units of a document are its whole text, each of its lines, and runs of consecutive lines (paragraphs are such runs).  A unit is lower-cased (A-Z), everything but letters a-z and digits
 becomes a break, and its distinct word bigrams are compared with each template's by Dice = 2 |A and B| / (|A| + |B|).
 A Dice of d needs |A| between d / (2 - d) |B| and (2 - d) / d |B|: templates outside these bounds are never intersected.
 
+Runs.  A run that matches template B holds d / (2 - d) |B| of its bigrams at least, so only documents whose whole text does are tried.
+A run begins with a line that has words and ends with one that shares a bigram with B (else a shorter run has no smaller Dice), and the shared bigrams of its
+lines must reach that bound, and those that its lines have first in the text not exceed the bound from above.  A template that the whole text or a line matches isn't looked for in runs; else its best run
+(Dice, first line, last line) counts as one matching unit.
+
 One scan; lines are exploded and thinned by size within the same stage, and only matches are shuffled.  Templates are literals of
-fixed size.
+fixed size: the notices of TEMPLATES and, of whole licences, the texts in ``license_texts``.
 
-Result: a row for each row of documents with the number of units and of matching units, the best template (by Dice, then name), its Dice
-and the unit (0: whole text, else line from 1).  Null or empty text: one unit, no match.  Rows with one doc_id: matches of
+Result: a row for each row of documents with the number of units (whole text and lines) and of matching units, the best template (by Dice, then name), its Dice
+and the unit (0: whole text, else line from 1; of a run its first line).  Null or empty text: one unit, no match.  Rows with one doc_id: matches of
 all of them count for each.  Null doc_id: matches of rows with null doc_id.  Empty table: empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -36,6 +43,8 @@ TEMPLATES = {
     "MIT-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+# Whole licences, and a notice; the SQL form has TEMPLATES, whole texts and lines only.
+WHOLE = {f"{p.stem}-text": p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))} | {"MIT-licensed": "Licensed under the MIT License."}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,9 +58,41 @@ def _normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " "))
 
 
+def _bigrams(w: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
+
+
+def _runs(inside: DataFrame, known: dict, low: float, high: float, threshold: float) -> DataFrame:
+    """doc_id, unit (first and last line), hit (dice, license): the best run of two lines at least of each document and template of ``inside``."""
+    b = inside.sparkSession.createDataFrame([(k, v) for k, v in sorted(known.items())], "name string, b array<string>")
+    d = inside.withColumn("row", F.monotonically_increasing_id()).join(F.broadcast(b), F.col("license") == F.col("name")).drop("name")
+    lines = F.transform(F.split("text", "\n"), lambda x: F.filter(F.split(_normalised(x), " "), lambda w: w != ""))
+    d = d.withColumn("lines", lines).select("row", "doc_id", "license", "b", "lines", F.posexplode("lines").alias("i", "line"))
+    # a line's shared bigrams, with those that lead to its first word
+    before = F.filter(F.slice("lines", 1, F.col("i")), lambda x: F.size(x) > 0)
+    led = F.concat(F.when(F.size(before) > 0, F.slice(F.element_at(before, F.when(F.size(before) > 0, F.lit(-1)).otherwise(F.lit(1))), -1, 1)).otherwise(F.array().cast("array<string>")), F.col("line"))
+    d = d.withColumn("grams", F.when(F.size(led) > 1, _bigrams(F.when(F.size(led) > 1, led))).otherwise(F.array().cast("array<string>")))
+    d = C.cut(d.select("row", "doc_id", "license", "i", "line", "lines", "b", "grams", F.size(F.array_intersect("grams", "b")).alias("shared")))
+    text = d.where("i = 0").select("row", "doc_id", "license", "lines", "b")
+    # bigrams that a line has first: a run's distinct ones are as many at least as its lines after the first have
+    new = d.select("row", "i", F.explode("grams").alias("gram")).groupBy("row", "gram").agg(F.min("i").alias("i")).groupBy("row", "i").agg(F.count(F.lit(1)).alias("new"))
+    line = W.partitionBy("row").orderBy("i")
+    sums = d.join(new, ["row", "i"], "left").select("row", "i", "shared", F.size("line").alias("n"), F.sum("shared").over(line).alias("upto"), F.sum(F.coalesce("new", F.lit(0))).over(line).alias("news"))
+    first = sums.where("n > 0").select("row", F.col("i").alias("a"), (F.col("upto") - F.col("shared")).alias("before"), F.col("news").alias("old"))
+    last = sums.where("shared > 0").select("row", F.col("i").alias("z"), "upto", "news")
+    m = F.size("b")
+    pairs = first.join(last, "row").where("z > a").join(text, "row").where((F.col("upto") - F.col("before") >= low * m) & (F.col("news") - F.col("old") <= high * m))
+    w = F.flatten(F.slice("lines", F.col("a") + 1, F.col("z") - F.col("a") + 1))
+    own = pairs.select("row", "doc_id", "license", "a", "z", "b", F.explode(F.array(w)).alias("w")).where(F.size("w") > 1).select("row", "doc_id", "license", "a", "z", "b", F.explode(F.array(_bigrams(F.col("w")))).alias("own"))
+    n = F.size("own")
+    own = own.where((n >= low * m) & (n <= high * m)).select("row", "doc_id", "license", "a", "z", (2.0 * F.size(F.array_intersect("own", "b")) / (n + m)).alias("dice")).where(F.col("dice") >= threshold)
+    best = own.groupBy("row", "doc_id", "license").agg(F.min(F.struct((-F.col("dice")).alias("loss"), "a", "z")).alias("x"))
+    return best.select("doc_id", F.struct((F.col("x.a") + 1).cast("long").alias("unit"), (F.col("x.z") + 1).cast("long").alias("last")), F.struct((-F.col("x.loss")).alias("dice"), "license"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_units, n_matched, license, dice, unit."""
-    known = {k: b for k, t in (templates or TEMPLATES).items() if (b := bigrams(t))}
+    known = {k: b for k, t in (templates or TEMPLATES | WHOLE).items() if (b := bigrams(t))}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(map(len, known.values())) * low, max(map(len, known.values())) * high
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -63,17 +104,29 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     lines = F.split("text", "\n")
     units = docs.select("doc_id", F.posexplode(F.concat(F.array("text"), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("unit", "part"))
     # k distinct bigrams need k + 1 words, two characters each but for the last
-    units = units.where(F.length("part") >= 2 * least + 1).select("doc_id", "unit", once(F.split(_normalised(F.col("part")), " ")).alias("words")).where(F.size("words") > least)
-    w = F.col("words")
-    units = units.select("doc_id", "unit", once(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))).alias("own"))
-    n = F.size("own")
-    units = units.where((n >= least) & (n <= most))
+    units = units.where(F.length("part") >= 2 * least + 1).select("doc_id", "unit", "part", once(F.split(_normalised(F.col("part")), " ")).alias("words")).where(F.size("words") > least)
+    units = units.select("doc_id", "unit", "part", once(_bigrams(F.col("words"))).alias("own"))
+    n, whole = F.size("own"), F.col("unit") == 0
+    units = units.where((n >= least) & (whole | (n <= most)))
     tried = []
     for name, b in sorted(known.items()):
-        dice = 2.0 * F.size(F.array_intersect("own", F.array(*map(F.lit, b)))) / (n + len(b))
-        tried.append(F.when((n >= low * len(b)) & (n <= high * len(b)), F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
-    hits = units.select("doc_id", "unit", F.explode(F.array(*tried)).alias("hit")).where(F.col("hit.dice") >= threshold)
-    best = F.min(F.struct((-F.col("hit.dice")).alias("loss"), F.col("hit.license").alias("license"), F.col("unit").alias("unit")))
+        both = F.size(F.array_intersect("own", F.split(F.lit("|".join(b)), "[|]")))
+        tried.append(F.when((n >= low * len(b)) & (whole | (n <= high * len(b))), F.struct(both.alias("both"), F.lit(len(b)).alias("size"), F.lit(name).alias("license"))))
+
+    def dice(x: Column) -> Column:
+        return F.when(n <= high * x["size"], 2.0 * x["both"] / (n + x["size"])).otherwise(0.0)
+
+    def within(x: Column) -> Column:
+        return whole & (x["both"] >= low * x["size"])
+
+    told = units.select("doc_id", "unit", "part", "own", F.explode(F.filter(F.array(*tried), lambda x: (dice(x) >= threshold) | within(x))).alias("x"))
+    told = C.cut(told.select("doc_id", "unit", F.when(within(F.col("x")), F.col("part")).alias("text"), F.struct(dice(F.col("x")).alias("dice"), F.col("x.license").alias("license"), within(F.col("x")).alias("within")).alias("hit")))
+    hits = told.where(F.col("hit.dice") >= threshold).select("doc_id", F.col("unit").cast("long").alias("unit"), "hit.dice", "hit.license")
+    matched = hits.select(F.col("doc_id").alias("id"), F.col("license").alias("name")).distinct()
+    inside = told.where("hit.within").select("doc_id", "text", "hit.license")
+    inside = inside.join(matched, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("license") == F.col("name")), "left_anti")
+    hits = hits.select("doc_id", F.struct("unit", F.lit(0).cast("long").alias("last")).alias("unit"), F.struct("dice", "license").alias("hit")).union(_runs(inside, known, low, high, threshold))
+    best = F.min(F.struct((-F.col("hit.dice")).alias("loss"), F.col("hit.license").alias("license"), F.col("unit.unit").alias("unit")))
     found = hits.groupBy(F.col("doc_id").alias("found_id")).agg(F.count_distinct("unit").alias("n_matched"), best.alias("best"))
     n_units = F.when(F.size(lines) > 1, F.size(lines) + 1).otherwise(1).cast("long")
     return (

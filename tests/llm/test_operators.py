@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -286,3 +287,20 @@ def test_licenses(docs, spark, empty):
     got = sorted(map(tuple, licenses.scan(d).collect()), key=str)
     assert got == sorted([(1, 4, 1, "GPL-3.0", 1.0, 2), (2, 1, 1, "GPL-3.0", 1.0, 0), (3, 1, 0, None, None, None), (4, 1, 0, None, None, None), (2, 1, 1, "GPL-3.0", 1.0, 0)], key=str)
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
+
+
+def test_whole_licences_and_wrapped_notices(spark):
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 78))
+    noise = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(60))
+    t, w = licenses.TEMPLATES, licenses.WHOLE
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join(wrap(x) for x in w["MIT-text"].split("\n\n")[1:]),
+        noise + "\n" + wrap(t["Apache-2.0-notice"], "# ") + "\n" + noise,
+        noise + "\n\n" + wrap(w["BSD-3-Clause-text"], " * ") + "\n" + noise,
+        w["GPL-3-text"], noise + "\nLicensed under the MIT License.\n" + noise, noise,
+    ]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_matched"], r["license"], r["unit"]) for r in licenses.scan(d).collect()}
+    # the grant or the clauses alone have a Dice of 1, as a run; the whole licence is a second unit
+    assert got[0] == (2, "MIT-grant", 5) and got[1] == (1, "Apache-2.0-notice", 61) and got[2] == (2, "BSD-3-Clause-text", 62)
+    assert got[3][1:] == ("GPL-3-text", 0) and got[4] == (1, "MIT-licensed", 61) and got[5] == (0, None, None)
