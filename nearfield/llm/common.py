@@ -29,13 +29,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset on one machine."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_nearfield_dir", None)
     if not at:
-        at = getattr(sc, "_nearfield_dir", None)
-        if at is None:
-            at = sc._nearfield_dir = "file://" + tempfile.mkdtemp(prefix="nearfield-")
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = sc._nearfield_dir = "file://" + tempfile.mkdtemp(prefix="nearfield-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(at)
     return at
@@ -46,9 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/nearfield-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
+    out = spark.read.schema(df.schema).parquet(path)
+    out._nearfield_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``cut`` wrote and nothing reads any more."""
+    for df in tables:
+        if (path := getattr(df, "_nearfield_path", None)) is not None:
+            spark = df.sparkSession
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def text_bytes(docs: DataFrame) -> int:
