@@ -18,6 +18,9 @@ An anchor with more than HOT fragments (the edges of a passage that very many do
 its windows are dealt to tasks by their own 128-bit hash, each once a block, and counted there.  So what meets in a task is
 bounded by the number of blocks, not of documents; equality of these windows is by that hash.
 
+Memory.  A block is BLOCK bytes of text or one document; windows, hits and places are flat arrays, so a task of any
+phase holds a small multiple of that.  A very long text is hashed in slices and is a block of its own.
+
 Null text: empty.  Texts under 200 bytes keep everything.  Rows with one doc_id get a row each and count as separate
 places.  Empty table: empty result.  Extra columns are ignored.
 """
@@ -36,6 +39,8 @@ from . import common as C
 LENGTH = 200
 GRAM = 64
 SHALLOW = 64
+#: bytes of text in a block: its fragments are about four times as many
+BLOCK = 2 << 20
 #: fragments of one anchor that are ordered in one task
 HOT = 4096
 BASE = 0x9E3779B97F4A7C15
@@ -200,8 +205,8 @@ def anchors(text: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def repeated_starts(fragments: list[bytes], left: np.ndarray, first: np.ndarray, last: np.ndarray, many: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """Offsets before the anchor at which a window of each fragment repeats.
+def repeated_starts(fragments: list[bytes], left: np.ndarray, first: np.ndarray, last: np.ndarray, many: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(fragment, offset before its anchor) of each window that repeats.
 
     Distinct fragments; the anchor stands ``left`` bytes in; windows start ``last``..``first`` bytes before it.  ``many``: the fragment stands in
     more than one place, so that all of its windows repeat.
@@ -209,7 +214,7 @@ def repeated_starts(fragments: list[bytes], left: np.ndarray, first: np.ndarray,
     n = len(fragments)
     right_order, right = deep_shallow_sort([f[k:] for f, k in zip(fragments, left.tolist())])
     left_order, back = deep_shallow_sort([f[:k][::-1] for f, k in zip(fragments, left.tolist())])
-    hits: list = [[] for _ in range(n)]
+    rows, offsets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for a in range(int(first.max(initial=-1)) + 1):
         r, l = np.empty(n, np.int64), np.empty(n, np.int64)
         r[right_order] = np.cumsum(right < length - a)
@@ -222,12 +227,13 @@ def repeated_starts(fragments: list[bytes], left: np.ndarray, first: np.ndarray,
         same = key[s][1:] == key[s][:-1]
         again = np.zeros(len(own), bool)
         again[s] = np.r_[same, False] | np.r_[False, same]
-        for i in own[again | many[own]].tolist():
-            hits[i].append(a)
-    return hits
+        hit = own[again | many[own]].astype(np.int32)
+        rows.append(hit)
+        offsets.append(np.full(len(hit), a, np.int32))
+    return np.concatenate(rows), np.concatenate(offsets)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = C.BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes), spans (maximal removed runs, end exclusive)."""
     spark = C.ready(docs.sparkSession)
     total = C.text_bytes(docs)
@@ -295,20 +301,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
             a, p, b = int(first[i]), int(place[i]), int(last[i])
             groups.setdefault((int(h[i]), raw[a : b + length], p - a, p - b), []).append(a)
         parts: dict = {}
-        windows: dict = {}
         crowded = set(crowded.tolist())
+        digests, sizes, where = bytearray(), [], []
         for (x, f, up, down), places in groups.items():
             if x not in crowded:
                 parts.setdefault(((x >> 32) * buckets) >> 32, []).append((x, f, up, down, places))
                 continue
             for o in range(len(f) - length + 1):
-                windows.setdefault(xxhash.xxh3_128_digest(f[o : o + length]), []).extend(a + o for a in places)
+                digests += xxhash.xxh3_128_digest(f[o : o + length])
+            sizes.append(len(f) - length + 1)
+            where.append(places)
         rows = []
-        apart: dict = {}
-        for x, places in windows.items():
-            apart.setdefault((int.from_bytes(x[:4], "little") * buckets) >> 32, []).append((x, places))
-        for bucket, items in apart.items():  # no text: counted by hash
-            rows.append({"bucket": bucket, "block": t["block"][0].as_py(), "hash": b"".join(x for x, _ in items), "many": np.array([len(p) for _, p in items], np.uint32).tobytes(), "places": np.array([p for _, q in items for p in q], np.uint32).tobytes()})
+        if sizes:  # windows of crowded anchors, by hash and without text: each distinct one with its places
+            key = np.frombuffer(digests, np.uint64).reshape(-1, 2)
+            times = np.array(list(map(len, where)), np.int64)
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            offset = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.lexsort((key[:, 1], key[:, 0]))
+            key, of, offset = key[order], of[order], offset[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(1)])
+            each = np.cumsum(times) - times
+            at = np.repeat(each[of] - np.cumsum(times[of]) + times[of], times[of]) + np.arange(times[of].sum())
+            places = (np.concatenate([np.array(p, np.int64) for p in where])[at] + np.repeat(offset, times[of])).astype(np.uint32)
+            upto = np.r_[0, np.cumsum(times[of])]
+            many = np.add.reduceat(times[of], first)
+            found, bounds = C.by_bucket(key[first, 0], buckets)
+            ends = np.append(first, len(key))
+            for bucket, x, y in zip(found.tolist(), bounds, bounds[1:]):
+                rows.append({"bucket": bucket, "block": t["block"][0].as_py(), "hash": key[first[x:y]].tobytes(), "many": many[x:y].astype(np.uint32).tobytes(), "places": places[upto[ends[x]] : upto[ends[y]]].tobytes()})
         for bucket, items in parts.items():
             rows.append({"bucket": bucket, "block": t["block"][0].as_py(), "hash": np.array([x[0] for x in items], np.uint64).tobytes(), "text": b"".join(x[1] for x in items), "shape": np.array([(len(x[1]), x[2], x[3]) for x in items], np.uint16).tobytes(), "many": np.array([len(x[4]) for x in items], np.uint32).tobytes(), "places": np.array([p for x in items for p in x[4]], np.uint32).tobytes()})
         return pa.Table.from_pylist(rows, schema=schema)
@@ -346,19 +366,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
         for k in seen:
             peers[k[0]] = peers.get(k[0], 0) + 1
         keys = [k for k, at in seen.items() if peers[k[0]] > 1 or len(at) > 1 or len(at[0][1]) > 1]
-        some = [k for k in keys if peers[k[0]] > 1]
-        alone = [k for k in keys if peers[k[0]] == 1]
-        many = np.array([len(seen[k]) > 1 or len(seen[k][0][1]) > 1 for k in some], bool)
-        hits = repeated_starts([k[1] for k in some], np.array([k[2] for k in some], np.int64), np.array([k[2] for k in some], np.int64), np.array([k[3] for k in some], np.int64), many, length) if some else []
-        for k, offsets in [*zip(some, hits), *((k, range(k[3], k[2] + 1)) for k in alone)]:
-            if not len(offsets):
-                continue
-            o = np.sort(k[2] - np.fromiter(offsets, np.int64, len(offsets)))  # from the fragment's first byte
-            edge = np.flatnonzero(np.diff(o) > 1)
-            lo, hi = o[np.r_[0, edge + 1]], o[np.r_[edge, len(o) - 1]]
-            for block, places in seen[k]:
-                for a, b in zip(lo.tolist(), hi.tolist()):
-                    starts.setdefault(block, []).append(np.stack([places.astype(np.int64) + a, places.astype(np.int64) + b], 1))
+        up = np.array([k[2] for k in keys], np.int64)
+        back = np.array([k[3] for k in keys], np.int64)
+        both = [i for i, k in enumerate(keys) if peers[k[0]] > 1]
+        alone = np.array([i for i, k in enumerate(keys) if peers[k[0]] == 1], np.int64)
+        many = np.array([len(seen[k]) > 1 or len(seen[k][0][1]) > 1 for k in keys], bool)
+        row, offset = repeated_starts([keys[i][1] for i in both], up[both], up[both], back[both], many[both], length) if both else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        row = np.array(both, np.int64)[row]
+        at = up[row] - offset  # from the fragment's first byte
+        order = np.lexsort((at, row))
+        row, at = row[order], at[order]
+        edge = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(at) > 1)]) if len(row) else np.zeros(0, np.int64)
+        last = np.r_[edge[1:], len(row)] - 1 if len(edge) else edge
+        runs = np.stack([np.r_[row[edge], alone], np.r_[at[edge], np.zeros(len(alone), np.int64)], np.r_[at[last], up[alone] - back[alone]]], 1)
+        for i, a, b in runs.tolist():
+            for block, places in seen[keys[i]]:
+                starts.setdefault(block, []).append(np.stack([places.astype(np.int64) + a, places.astype(np.int64) + b], 1))
         return pa.table({"block": pa.array(list(starts), pa.int32()), "runs": pa.array([np.concatenate(x).astype(np.uint32).tobytes() for x in starts.values()], pa.binary())})
 
     def remove(t: pa.Table, told: pa.Table) -> pa.Table:
