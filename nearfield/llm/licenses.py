@@ -108,9 +108,13 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     units = units.select("doc_id", "unit", "part", once(_bigrams(F.col("words"))).alias("own"))
     n, whole = F.size("own"), F.col("unit") == 0
     units = units.where((n >= least) & (whole | (n <= most)))
+    # bigrams of any template, found once a unit; what is left of most units is too little for every template
+    every = sorted({g for b in known.values() for g in b})
+    units = units.select("doc_id", "unit", "part", n.alias("n"), once(F.filter("own", lambda x: x.isin(every))).alias("own")).where(F.size("own") >= least)
+    n = F.col("n")
     tried = []
     for name, b in sorted(known.items()):
-        both = F.size(F.array_intersect("own", F.split(F.lit("|".join(b)), "[|]")))
+        both = F.when(F.size("own") >= low * len(b), F.size(F.array_intersect("own", F.split(F.lit("|".join(b)), "[|]")))).otherwise(0)
         tried.append(F.when((n >= low * len(b)) & (whole | (n <= high * len(b))), F.struct(both.alias("both"), F.lit(len(b)).alias("size"), F.lit(name).alias("license"))))
 
     def dice(x: Column) -> Column:
@@ -119,7 +123,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     def within(x: Column) -> Column:
         return whole & (x["both"] >= low * x["size"])
 
-    told = units.select("doc_id", "unit", "part", "own", F.explode(F.filter(F.array(*tried), lambda x: (dice(x) >= threshold) | within(x))).alias("x"))
+    told = units.select("doc_id", "unit", "part", "n", F.explode(F.filter(F.array(*tried), lambda x: (dice(x) >= threshold) | within(x))).alias("x"))
     told = C.cut(told.select("doc_id", "unit", F.when(within(F.col("x")), F.col("part")).alias("text"), F.struct(dice(F.col("x")).alias("dice"), F.col("x.license").alias("license"), within(F.col("x")).alias("within")).alias("hit")))
     hits = told.where(F.col("hit.dice") >= threshold).select("doc_id", F.col("unit").cast("long").alias("unit"), "hit.dice", "hit.license")
     matched = hits.select(F.col("doc_id").alias("id"), F.col("license").alias("name")).distinct()
