@@ -10,8 +10,13 @@ once and remembered.  A text's N best differ from the best in the N - 1 parts th
 The model file gives pieces and ranks (its scores are minus the rank).  A path's score is the sum of log probabilities of a Zipf law
 over ranks, so that fewer pieces are better; nothing is trained.  The file is read by the driver, and executors get the 32,000 pieces.
 
+Ties.  Of equally good ways the best one takes, from the end back, the longest last piece at each place; the other of the N best
+follow in the order in which A-star opens them, which depends on the text and the model only.
+
 Decoding joins pieces and bytes and drops the first space: every text returns exactly.  Null text: no pieces.  Empty
-text: no pieces.  Rows with one doc_id: a row each.  Empty table: empty result.  Extra columns are ignored, or carried by ``encode``.
+text: no pieces.  Very long texts, unspaced ones too: memory grows with the text, not with its lattice (about 250 bytes a
+code point where one part is the whole text).  Rows with one doc_id: a row each.  Empty table: empty result.  Extra columns are ignored, or
+carried by ``encode``, whose own columns take the place of those of their names.
 """
 
 from __future__ import annotations
@@ -22,13 +27,14 @@ import math
 import os
 import re
 from array import array
+from bisect import insort
 from itertools import accumulate, chain, count
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -36,8 +42,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
 REMEMBER = 1_000_000
 WIDE = 28
+#: longest part whose lattice is kept whole
+SHORT = 4096
 BASE = 0x9E3779B97F4A7C15
 IDS, SCORE, LOSS = map(itemgetter, range(3))
+IDS_TYPE = T.ArrayType(T.IntegerType())
+ADDED = {"ids": IDS_TYPE, "n_pieces": T.LongType(), "score": T.DoubleType(), "nbest": T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", IDS_TYPE)])), "decoded": T.StringType()}
 
 
 def read_model(path: str = MODEL) -> tuple[dict[str, tuple[int, float]], list[int], list[bytes | None]]:
@@ -69,6 +79,7 @@ class Lattice:
         self.prefixes: dict = {p[:k]: None for p in self.pieces for k in range(1, len(p))}
         self.prefixes.update({p: (i, x, (i,)) for p, (i, x) in self.pieces.items()})
         self.worst = min(p[1] for p in self.pieces.values()) - 10
+        self.most = max(map(len, self.pieces))
         #: spaces and what follows; a line break is a part of its own unless some piece holds one
         self.split = re.compile(r" *[^ ]+| +\Z" if any("\n" in p for p in self.pieces) else r" *[^ \n]+| +|\n").findall
         self.remember = remember
@@ -94,7 +105,8 @@ class Lattice:
     def best(self, s: str) -> tuple[tuple[int, ...], float, float]:
         """Ids and score of the best way, and what the second best loses (infinite: there is none)."""
         n, get = len(s), self.prefixes.get
-        one, two, by = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
+        one, two = array("d", [-math.inf]) * (n + 1), array("d", [-math.inf]) * (n + 1)
+        since, by = array("q", [0]) * (n + 1), [None] * (n + 1)  # start and ids of each place's last piece
         one[0] = 0.0
         for i in range(n):
             a, b = one[i], two[i]  # scores of the best and the second best way to here
@@ -102,7 +114,7 @@ class Lattice:
                 raw = s[i].encode()
                 x = self.worst * len(raw)
                 if a + x > one[i + 1]:
-                    one[i + 1], two[i + 1], by[i + 1] = a + x, max(one[i + 1], b + x), (i, tuple(self.byte_ids[v] for v in raw))
+                    one[i + 1], two[i + 1], since[i + 1], by[i + 1] = a + x, max(one[i + 1], b + x), i, tuple(self.byte_ids[v] for v in raw)
                 else:
                     two[i + 1] = max(two[i + 1], a + x)
             for j in range(i + 1, n + 1):
@@ -114,15 +126,15 @@ class Lattice:
                     v = a + x
                     old = one[j]
                     if v > old:
-                        one[j], by[j] = v, (i, p[2])
+                        one[j], since[j], by[j] = v, i, p[2]
                         w = b + x
                         two[j] = old if old > w else w
                     elif v > two[j]:
                         two[j] = v
         ids, j = [], n
         while j:
-            ids.append(by[j][1])
-            j = by[j][0]
+            ids.append(by[j])
+            j = since[j]
         r = (tuple(x for e in reversed(ids) for x in e), one[n], one[n] - two[n])
         if n <= 64:
             if len(self.known) >= self.remember:
@@ -206,27 +218,69 @@ class Lattice:
             for w, ids, k, a, b in zip(words, chain_.T.tolist(), used.tolist(), one[n].tolist(), (one[n] - two[n]).tolist()):
                 self.known[w] = (tuple(ids[:k][::-1]), a, b)
 
+    def _ending(self, s: str, j: int) -> list[tuple]:
+        """``_into(s)[j]``, for long parts: nothing is kept for the places that no way comes by."""
+        get, out = self.pieces.get, []
+        for i in range(max(0, j - self.most), j):
+            if p := get(s[i:j]):
+                out.append((i, (p[0],), p[1]))
+        if s[j - 1] not in self.pieces:
+            b = s[j - 1].encode()
+            out.append((j - 1, tuple(self.byte_ids[x] for x in b), self.worst * len(b)))
+        return out
+
+    def _fore(self, s: str) -> array:
+        """Forward Viterbi: the score of the best way to each place."""
+        n, get = len(s), self.prefixes.get
+        fore = array("d", [-math.inf]) * (n + 1)
+        fore[0] = 0.0
+        for i in range(n):
+            a = fore[i]
+            if s[i] not in self.pieces:
+                fore[i + 1] = max(fore[i + 1], a + self.worst * len(s[i].encode()))
+            for j in range(i + 1, n + 1):
+                p = get(s[i:j], 0)
+                if p == 0:
+                    break
+                if p and a + p[1] > fore[j]:
+                    fore[j] = a + p[1]
+        return fore
+
     def n_best(self, s: str, n: int, limit: float = math.inf) -> list[tuple[float, tuple[int, ...]]]:
-        """The ``n`` best (score, ids), of those that lose ``limit`` at most: backward A-star on forward Viterbi scores."""
+        """The ``n`` best (score, ids), of those that lose ``limit`` at most: backward A-star on forward Viterbi scores.
+
+        The heuristic is exact, so each open state stands for a way of its own with its whole score: no more states are kept open than
+        ways are still wanted.  A state holds its pieces as a link to the state that it came from.
+        """
         wider, known = self.more.get((s, n), (-1.0, None))
         if wider >= limit:
             return known
-        into, size = self._into(s), len(s)
-        fore = [0.0] + [-math.inf] * size
-        for j in range(1, size + 1):
-            fore[j] = max((fore[i] + x for i, _, x in into[j]), default=-math.inf)
+        size = len(s)
+        if size <= SHORT:
+            into, fore = self._into(s), [0.0] + [-math.inf] * size
+            for j in range(1, size + 1):
+                fore[j] = max((fore[i] + x for i, _, x in into[j]), default=-math.inf)
+        else:
+            into, fore = None, self._fore(s)
         least = fore[size] - limit - 1e-9
-        heap: list = [(-fore[size], 0, size, 0.0, ())]
+        # (minus the whole score, number, place, score behind it, (ids, link)), best first
+        live: list = [(-fore[size], 0, size, 0.0, None)]
         out, made = [], 0
-        while heap and len(out) < n:
-            _, _, j, behind, ids = heapq.heappop(heap)
+        while live and len(out) < n:
+            _, _, j, behind, link = live.pop(0)
             if not j:
-                out.append((behind, ids))
+                ids: list = []
+                while link:
+                    ids.extend(link[0])
+                    link = link[1]
+                out.append((behind, tuple(ids)))
                 continue
-            for i, own, x in into[j]:
-                if (whole := fore[i] + x + behind) >= least:
+            room = n - len(out)
+            for i, own, x in into[j] if into else self._ending(s, j):
+                if (whole := fore[i] + x + behind) >= least and (len(live) < room or -whole < live[-1][0]):
                     made += 1
-                    heapq.heappush(heap, (-whole, made, i, behind + x, own + ids))
+                    insort(live, (-whole, made, i, behind + x, (own, link)))
+                    del live[room:]
         if size <= 64:
             if len(self.more) >= self.remember // 8:
                 self.more.clear()
@@ -282,11 +336,11 @@ def lattice_of(model: tuple) -> Lattice:
 
 
 def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
-    """All columns of ``docs`` and ids, n_pieces, score, nbest (array of score and ids), decoded."""
+    """All columns of ``docs`` and ids, n_pieces, score, nbest (array of score and ids), decoded (in place of columns of these names)."""
     spark = C.ready(docs.sparkSession)
+    docs = docs.drop(*ADDED)
     held = spark.sparkContext.broadcast(read_model(model))  # as large as the model file
     place = docs.columns.index("text")
-    added = "ids array<int>, n_pieces long, score double, nbest array<struct<score:double,ids:array<int>>>, decoded string"
     nbest = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches):
@@ -302,7 +356,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
                 more = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([w[0][0] if w else 0.0 for w in ways], pa.float64()), pa.array([[{"score": s, "ids": x} for s, x in w] for w in ways], nbest), pa.array([lattice.decode(x) if x else "" for x in ids], pa.string())]
                 yield pa.record_batch([*p.columns, *more], [*p.schema.names, "ids", "n_pieces", "score", "nbest", "decoded"])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), added]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, kind) for c, kind in ADDED.items())]))
 
 
 def digests(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
