@@ -1,21 +1,29 @@
 """PII (operator 8): base patterns plus information-theoretic sanitisation of terms that reveal them.
 
-Base values (e-mail, ip, card, phone) are the protected entities.  Over the whole corpus, N rows, a value e is in c(e) rows, a
+The protected entities are the base values (e-mail, ip, card, phone) and the parts that several values share: an e-mail's
+domain, an ip's first two numbers, a card's first six digits, a phone's first four.  Over the whole corpus, N rows, an entity e is in c(e) rows, a
 term t in c(t), both in c(e, t).  A term's disclosure of e is PMI(e; t) / IC(e) with PMI = log2(N c(e,t) / (c(e) c(t))) and
-IC(e) = -log2(c(e) / N): 1 when seeing the term tells the value.  Terms at ``disclosure`` or more, seen with the value in ``support``
-different texts at least, are spans of kind ``term`` wherever they stand, beside the value or not; base spans are never touched.
+IC(e) = -log2(c(e) / N): 1 when seeing the term tells the entity.  A term is telling if it was seen with the entity in
+
+* ``support`` different texts at least, at a disclosure of ``disclosure`` or more, and in ``likely`` of the term's rows at least (for a rare entity a
+  disclosure of 0.8 alone may mean one row in five: too little to touch the other four); and, where the entity is a part, which many unrelated rows
+  share, so often together that chance (Poisson with mean c(e) c(t) / N, by its Chernoff bound) has a probability of at most ``chance``; or
+* two different texts at least, and never without it (disclosure 1): such a term stands only in rows that hold the entity.
+
+Telling terms are spans of kind ``term`` wherever they stand, beside the entity or not; base spans are never touched.
 
 Counts run over all rows: term counts are combined in each batch and shuffled as 64-bit hashes, co-occurrence only for
-rows that hold a value of enough support.  Telling terms are looked up in all rows: a bitmap of fixed size of their hashes goes to every
+rows that hold an entity of two texts or more.  Telling terms are looked up in all rows: a bitmap of fixed size of their hashes goes to every
 task, what passes it is joined with the terms themselves (in SALTS parts, as a term may stand in a third of all rows),
 and spans come back by row.
 
-Null text: empty.  Rows with one doc_id get a row each.  Null doc_id is kept.  Empty table: empty result.  Extra columns are ignored, or
-carried by ``sanitise``.
+Null text: empty.  Rows with one doc_id get a row each.  Null doc_id is kept.  Empty table: empty result.  Very long texts are scanned whole, one at a
+time; rows of many entities and terms leave in several batches.  Extra columns are ignored, or carried by ``sanitise``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -24,11 +32,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone", "term")
-SUPPORT, DISCLOSURE = 3, 0.8
+SUPPORT, DISCLOSURE, LIKELY, CHANCE = 3, 0.8, 0.66, 1e-6
 #: bits of the bitmap that thins terms before their exchange, and parts of a term in it
 BITS, SALTS = 1 << 26, 32
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,15 +90,31 @@ def _hash(x: str) -> int:
 def _terms(text: str, spans: list) -> list[tuple[str, int, int]]:
     """(term, start, end) outside of base spans."""
     out, i = [], 0
-    ends = [(a, b) for a, _, b in spans]
+    ends: list = []  # base spans, overlapping ones as one
+    for a, _, b in spans:
+        if ends and a < ends[-1][1]:
+            ends[-1][1] = max(ends[-1][1], b)
+        else:
+            ends.append([a, b])
     for m in TERM.finditer(text):
         while i < len(ends) and ends[i][1] <= m.start():
             i += 1
-        if not any(a < m.end() and m.start() < b for a, b in ends[i : i + 4]):
+        if i == len(ends) or ends[i][0] >= m.end():
             out.append((m[0].lower(), m.start(), m.end()))
     return out
 
 
+def entities(value: str, kind: int) -> tuple[int, int]:
+    """Hashes of the value (even) and of the part of it that other values may share (odd)."""
+    if kind == 0:
+        part = value.rpartition("@")[2].lower()
+    elif kind == 1:
+        part = ".".join(value.split(".")[:2])
+    else:
+        part = NOT_DIGIT.sub("", value)[: 6 if kind == 2 else 4]
+    return _hash(f"{KINDS[kind]}:{value}") & ~1, _hash(f"{KINDS[kind]}|{part}") | 1
+
+
 def _written(spans: list) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -108,13 +133,17 @@ def _masked(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, counts by base kind, base and spans (written), n_term; with ``keep``, those columns (text sanitised)."""
+def _quoted(name: str):
+    return F.col("`{}`".format(name.replace("`", "``")))
+
+
+def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, disclosure: float = DISCLOSURE, likely: float = LIKELY, chance: float = CHANCE) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, counts by base kind, n_term, base and spans (written); with ``keep``, the sanitised text and those columns in the struct ``rest``."""
     spark = C.ready(docs.sparkSession)
-    carried = [c for c in keep if c not in ("doc_id", "text")]
     whole = bool(keep)
-    docs = docs.select("doc_id", "text", F.struct(*carried, F.lit(0).alias("__")).alias("rest"))
-    rest = docs.schema["rest"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", F.struct(*map(_quoted, keep), F.lit(0).alias("__")).alias("rest"))
+    rest = docs.schema["rest"].dataType
+    kind_of_id = docs.schema["doc_id"].dataType
 
     def base(batches):
         for b in batches:
@@ -123,15 +152,17 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
                 texts = [t or "" for t in p.column(1).to_pylist()]
                 spans = [base_spans(t) for t in texts]
                 n = [Counter(k for _, k, _ in s) for s in spans]
-                values = [sorted({_hash(f"{KINDS[k]}:{t[a:b]}") for a, k, b in s}) for t, s in zip(texts, spans)]
+                values = [sorted({e for a, k, b in s for e in entities(t[a:b], k)}) for t, s in zip(texts, spans)]
                 yield pa.record_batch(
                     [p.column(0), *(pa.array([c[k] for c in n], pa.int64()) for k in range(4)), pa.array(map(_written, spans), pa.string()), pa.array(values, pa.list_(pa.int64())), pa.array([_hash(t) if s else None for t, s in zip(texts, spans)], pa.int64()), p.column(1), p.column(2)],
                     ["doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", "values", "same", "text", "rest"],
                 )
 
-    found = C.cut(docs.mapInArrow(base, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, values array<long>, same long, text string, rest {rest}").withColumn("row", F.monotonically_increasing_id()))
+    fields = [("doc_id", kind_of_id), *((f"n_{k}", T.LongType()) for k in KINDS[:4]), ("base", T.StringType())]
+    schema = T.StructType([T.StructField(c, k) for c, k in [*fields, ("values", T.ArrayType(T.LongType())), ("same", T.LongType()), ("text", T.StringType()), ("rest", rest)]])
+    found = C.cut(docs.mapInArrow(base, schema).withColumn("row", F.monotonically_increasing_id()))
     held = found.where("base != ''").select("row", "same", "text", "base", F.explode("values").alias("value"))
-    counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("c_e"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= support).select("value", "c_e")
+    counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("c_e"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= 2).select("value", "c_e")
     strong = held.join(counts, "value").groupBy("row").agg(F.collect_list("value").alias("strong"))
     rows = found.where("base != ''").select("row", "same", "text", "base").join(strong, "row")
     pair = ("same", "value", "term")
@@ -151,7 +182,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
             yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     together = rows.select("same", "text", "base", "strong").mapInArrow(beside, "same long, value long, term long")
-    pairs = together.groupBy("value", "term").agg(F.count(F.lit(1)).alias("c_et"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= support)
+    pairs = together.groupBy("value", "term").agg(F.count(F.lit(1)).alias("c_et"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= 2)
 
     def count_terms(batches):
         c: Counter = Counter()
@@ -167,7 +198,11 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
     df = docs.select("text").mapInArrow(count_terms, "term long, n int").groupBy("term").agg(F.sum("n").alias("c_t"))
     total = F.lit(found.count())
     pmi = F.log2(total * F.col("c_et") / (F.col("c_e") * F.col("c_t")))
-    telling = pairs.join(df, "term").join(counts, "value").where(pmi >= disclosure * F.log2(total / F.col("c_e"))).where(F.col("c_e") < total)
+    mean = F.col("c_e") * F.col("c_t") / total
+    tail = F.col("c_et") * (1 + F.log(mean / F.col("c_et"))) - mean  # log of the bound on P(X >= c_et), for c_et above the mean
+    whole_value = F.col("value").bitwiseAND(F.lit(1)) == 0
+    rare = (F.col("texts") >= support) & (F.col("c_et") >= likely * F.col("c_t")) & (pmi >= disclosure * F.log2(total / F.col("c_e"))) & (whole_value | ((F.col("c_et") > mean) & (tail <= math.log(chance))))
+    telling = pairs.join(df, "term").join(counts, "value").where(F.col("c_e") < total).where(rare | (F.col("c_et") == F.col("c_t")))
     telling = C.cut(telling.select("term").distinct())
     bit = F.pmod("term", F.lit(BITS))
     maps = telling.groupBy((bit / 32768).cast("int").alias("part")).agg(F.expr(f"bitmap_construct_agg(pmod(term, {BITS}) % 32768)").alias("bits")).collect()
@@ -214,15 +249,22 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
                 names = [*(c for c in p.schema.names if c not in ("flags", "text")), "spans", "n_term", "text"]
                 yield pa.record_batch([*(p.column(c) for c in names[:-3]), pa.array(spans_of, pa.string()), pa.array(n_term, pa.int64()), pa.array(texts if whole else [None] * len(texts), pa.string())], names)
 
-    told = found.select("row", "doc_id", *(f"n_{k}" for k in KINDS[:4]), "base", (F.col("text") if whole else F.lit(None).cast("string")).alias("text"), "rest").join(flags, "row", "left").drop("row")
-    out = told.mapInArrow(mark, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, rest {rest}, spans string, n_term long, text string")
-    return out.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), "n_term", "base", "spans", *(["text"] if whole else []), *(F.col(f"rest.{c}").alias(c) for c in carried))
+    told = found.select("row", *(c for c, _ in fields), (F.col("text") if whole else F.lit(None).cast("string")).alias("text"), "rest").join(flags, "row", "left").drop("row")
+    schema = T.StructType([T.StructField(c, k) for c, k in [*fields, ("rest", rest), ("spans", T.StringType()), ("n_term", T.LongType()), ("text", T.StringType())]])
+    out = told.mapInArrow(mark, schema)
+    return out.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), "n_term", "base", "spans", *(["text", "rest"] if whole else []))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and telling terms in text replaced by their kind; n_chars, if there, counts again."""
-    out = find(docs, keep=tuple(docs.columns)).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    found = find(docs, keep=tuple(c for c in docs.columns if c != "text"))
+
+    def column(c: str):
+        if c == "text":
+            return F.col("text")
+        return F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c)
+
+    return found.select(*map(column, docs.columns))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
