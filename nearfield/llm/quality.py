@@ -7,11 +7,14 @@ Features of a whole text: its distinct words hashed to 2**BITS slots (each 1 / s
 (lengths, shares of letters, capitals, digits, symbols, repeats, line shape), each also cut into bins, and as metadata its length class.  Labels, lang,
 source and doc_id are never inputs.
 
-Fitting takes at most ``SAMPLE`` labelled rows (those with the smallest hash of doc_id; a documented bound, so the driver holds at most
-SAMPLE texts' features) whose crc32(doc_id) mod 5 is not 0; scoring runs over all rows with the fitted numbers (2 MB at any input).
+Fitting takes at most ``SAMPLE`` labelled rows whose crc32(doc_id) mod 5 is not 0, those with the smallest hash of doc_id (then of the text), and
+of these, in that order, as many as have ``SLOTS`` features together: documented bounds, so the driver holds at most 12 * SLOTS bytes of
+features.  Scoring runs over all rows with the fitted numbers (2 MB at any input).
 
 Null or empty text: scored by its (zero) statistics.  Null doc_id: not held out (crc32 of nothing), scored.  No usable labels: score 0.5.  Rows with one
-doc_id: a row each.  Empty table: empty result.  Extra columns are ignored.
+doc_id: a row each, and each a labelled row of its own; of several labels of one doc_id the largest counts.  Ties of the hash go to the smaller doc_id.
+Very long texts: read whole, one at a time; a text has at most WORDS word slots.  Empty table: empty result.  Extra columns are carried; the score takes the
+place of a column of its name.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
-BITS, RANK, SAMPLE, EPOCHS, FOLDS, THRESHOLD = 14, 8, 8000, 12, 5, 0.3
+BITS, RANK, SAMPLE, SLOTS, EPOCHS, FOLDS, THRESHOLD = 14, 8, 8000, 8_000_000, 12, 5, 0.3
 CLASSES = np.zeros(256, np.uint8)
 for _i in range(256):
     _c = chr(_i)
@@ -102,27 +107,32 @@ def _held_out(folds: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS) -> tuple[float, np.ndarray, np.ndarray]:
-    """Fits on ``sample`` labelled rows at most, none of them held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, slots: int = SLOTS) -> tuple[float, np.ndarray, np.ndarray]:
+    """Fits on ``sample`` labelled rows of ``slots`` features together at most, none of them held out."""
     C.ready(docs.sparkSession)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~_held_out(folds)).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most ``sample`` rows of two numbers: small enough to broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    # one doc_id may have many rows
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
 
     def rows(batches):
         for b in batches:
             out = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in out], pa.binary()), pa.array([x.tobytes() for _, x in out], pa.binary())], ["id", "y", "at", "x"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array([a.astype(np.int32).tobytes() for a, _ in out], pa.binary()), pa.array([x.tobytes() for _, x in out], pa.binary()), pa.array([len(a) for a, _ in out], pa.int64())], ["id", "y", "at", "x", "n"])
 
-    got = sorted(texts.select("doc_id", "text", "quality").mapInArrow(rows, "id long, y int, at binary, x binary").orderBy("id", "at").limit(2 * sample).collect())
-    return fit([(np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(x, np.float32), y) for _, y, at, x in got])
+    made = texts.select("doc_id", "text", "quality").mapInArrow(rows, "id long, y int, at binary, x binary, n long")
+    before = W.orderBy(F.xxhash64("id"), "id", "at").rowsBetween(W.unboundedPreceding, 0)  # over ``sample`` rows at most
+    got = sorted(made.withColumn("upto", F.sum("n").over(before)).where(F.col("upto") <= slots).select("id", "at", "x", "y").collect())
+    return fit([(np.frombuffer(at, np.int32).astype(np.int64), np.frombuffer(x, np.float32), y) for _, at, x, y in got])
 
 
 def score(docs: DataFrame, model: tuple, out: str = "score") -> DataFrame:
-    """``docs`` (all columns) with the model's score of each text."""
+    """``docs`` (all columns) with the model's score of each text; a column of the name ``out`` gives way."""
     spark = C.ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)  # (2 + RANK) * DIM numbers, whatever the input
-    schema = docs.withColumn(out, F.lit(0.0)).schema
+    docs = docs.drop(out)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     place = docs.columns.index("text")
 
     def run(batches):
