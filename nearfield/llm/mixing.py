@@ -7,13 +7,16 @@ order of cap / weight).
 Schedule.  Point t of the golden-ratio sequence falls into the cumulative target weights and names slot t's source; slots
 are ranked per source.  Slot r of a source draws words [r * block, (r + 1) * block) of the source's shuffled stream,
 which repeats from its start after each epoch.  Slots beyond a source's target are passed over; what a source still lacks after
-the last point (the sequence's discrepancy) is appended.
+the last point (the sequence's discrepancy) is appended.  The targets say how many words of a source are taken; the schedule says when:
+``slots`` holds, for each pass over the source, the first slot that draws from the row, and ``mixed`` lays the rows out in that order.
 
 Ranks and stream offsets are prefix sums in two levels (sums of chunks or hash ranges first), so a source with a third
-of all rows is never in one task; the per-source table has one row a source.
+of all rows is never in one task; the numbers of ranges and cells grow with the rows and the slots.  The per-source table has one row a
+source; its windows run in one task.  Rows equal in doc_id and text share a range.
 
-Null text: size 0, taken 0.  Null source: a source of its own, last.  Null doc_id, several rows with one doc_id: a row each.  Empty table: empty
-result.  Extra columns are ignored.  Nothing is random: reruns agree.
+Null text: size 0, taken 0.  Null source: a source of its own, last.  Null doc_id, several rows with one doc_id: a row each; ties of the shuffle go by
+doc_id, size, row.  Very long texts: counted whole, drawn by as many slots as they need.  Empty table: empty
+result.  Extra columns are ignored, or carried in ``given``.  Nothing is random: reruns agree.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ BLOCK_WORDS = 2048
 EPOCHS = 3
 GOLDEN = 0.6180339887498949
 CHUNK = 1 << 16
-RANGES = 1024
-CELLS = 4096
+#: rows of a range of the shuffle, slots of a cell of the unit interval (on average)
+RANGE_ROWS, CELL_SLOTS = 1 << 16, 1 << 13
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,10 +68,16 @@ def schedule(per: DataFrame, n_slots: int, block: int) -> DataFrame:
     point = F.col("id")
     x = _fraction(_fraction(F.floor(point / CHUNK) * F.lit((CHUNK * GOLDEN) % 1.0)) + _fraction((point % CHUNK) * F.lit(GOLDEN)) + F.lit(0.5))
     points = spark.range(0, n_slots, 1, C.shuffle_partitions(spark)).select(F.col("id").alias("slot"), F.floor(point / CHUNK).alias("chunk"), x.alias("x"))
-    points = points.withColumn("cell", F.floor(F.col("x") * CELLS).cast("int"))
+    cells = n_slots // CELL_SLOTS + 1
+    points = points.withColumn("cell", F.floor(F.col("x") * cells).cast("int"))
     slots_of = F.ceil(F.col("need") / F.lit(float(block))).cast("long")
-    spans = per.where("hi > lo").select("place", "lo", "hi", slots_of.alias("slots"), F.explode(F.sequence(F.floor(F.col("lo") * CELLS).cast("int"), F.least(F.lit(CELLS - 1), F.floor(F.col("hi") * CELLS).cast("int")))).alias("cell"))
-    drawn = points.join(spans, "cell").where("x >= lo AND x < hi").select("slot", "chunk", "place", "slots")
+    # a source's part begins in each cell that it reaches into; a point belongs to the last beginning before it
+    spans = per.where("hi > lo").select("place", "lo", slots_of.alias("slots"), F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("int"), F.least(F.lit(cells - 1), F.floor(F.col("hi") * cells).cast("int")))).alias("cell"))
+    spans = spans.select("cell", F.greatest("lo", F.col("cell") / F.lit(float(cells))).alias("x"), F.struct("lo", "place", "slots").alias("of"))
+    none = F.lit(None)
+    both = spans.select("cell", "x", "of", none.cast("long").alias("slot"), none.cast("long").alias("chunk")).union(points.select("cell", "x", none.cast("struct<lo:double,place:int,slots:bigint>"), "slot", "chunk"))
+    so_far = W.partitionBy("cell").orderBy("x", F.col("slot").asc_nulls_first(), F.col("of.lo")).rowsBetween(W.unboundedPreceding, 0)
+    drawn = both.withColumn("of", F.last("of", ignorenulls=True).over(so_far)).where("slot IS NOT NULL AND of IS NOT NULL").select("slot", "chunk", "of.place", "of.slots")
     sums = drawn.groupBy("place", "chunk").agg(F.count(F.lit(1)).alias("n"))
     base = sums.select("place", "chunk", (F.sum("n").over(W.partitionBy("place").orderBy("chunk").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
     ranked = drawn.join(base, ["place", "chunk"]).select("slot", "place", "slots", (F.col("base") + F.row_number().over(W.partitionBy("place", "chunk").orderBy("slot")) - 1).alias("rank"))
@@ -79,7 +88,7 @@ def schedule(per: DataFrame, n_slots: int, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS, epochs: int = EPOCHS, weights: tuple = (1, 2, 3), keep: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot (of the schedule, null if none is drawn); a row for each row of ``docs``.
+    """doc_id, source, size, source_size, target, taken, slots (of each pass over the source, null if it draws nothing), first_slot; a row for each row of ``docs``.
 
     With ``keep``, each row of ``docs`` as well, as the struct ``given``: found again by a number of the row, not by its doc_id.
     """
@@ -88,11 +97,14 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, epochs: int = EPOCHS, weights
         whole = C.cut(docs.select(F.struct(*map(_quoted, docs.columns)).alias("given"), F.monotonically_increasing_id().alias("row")))
         docs = whole.select("given.doc_id", "given.source", "given.text", "row")
     row = F.col("row") if keep else F.lit(0).cast("long")
-    sized = C.cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("shuffle"), row.alias("row")))
+    mixer = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    sized = C.cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), mixer.alias("shuffle"), row.alias("row")))
     per = C.cut(targets(sized, weights, epochs))
     total = per.select(F.max("all_size")).first()[0] or 0
     slots = schedule(per, -(-total // block), block)
-    sized = sized.withColumn("range", F.pmod("shuffle", F.lit(RANGES)))
+    # ranges keep the order of the shuffle, so their number changes nothing
+    bits = max(C.shuffle_partitions(spark), sized.count() // RANGE_ROWS).bit_length()
+    sized = sized.withColumn("range", F.shiftright("shuffle", 63 - bits))
     sums = sized.groupBy("source", "range").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     ranges = sums.select("source", "range", before.alias("base")).join(per, sums["source"].eqNullSafe(per["source"])).select(sums["source"].alias("s"), F.col("range").alias("r"), "base", "place", "source_size", "target", "need")
@@ -101,13 +113,24 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, epochs: int = EPOCHS, weights
     laid = laid.withColumn("line", F.row_number().over(within)).withColumn("off", F.col("base") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     start = F.col("epoch") * F.col("source_size") + F.col("off")
     stop = F.least(start + F.col("size"), F.col("need"))
-    per_epoch = laid.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs).cast("long")))).select("*", start.alias("start"), stop.alias("stop")).where("stop > start")
+    per_epoch = laid.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).select("*", start.alias("start"), stop.alias("stop")).where("stop > start")
     pieces = per_epoch.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block))))
     words = F.least(F.col("stop"), (F.col("rank") + 1) * block) - F.greatest(F.col("start"), F.col("rank") * block)
-    drawn = pieces.join(slots, ["place", "rank"]).groupBy("place", "range", "line").agg(F.sum(words).alias("taken"), F.min("slot").alias("first_slot"))
-    out = laid.join(drawn, ["place", "range", "line"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *(["row"] if keep else []))
+    each = F.array(*(F.min(F.when(F.col("epoch") == e, F.col("slot"))) for e in range(epochs)))
+    drawn = pieces.join(slots, ["place", "rank"]).groupBy("place", "range", "line").agg(F.sum(words).alias("taken"), each.alias("slots"), F.min("slot").alias("first_slot"))
+    out = laid.join(drawn, ["place", "range", "line"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slots", "first_slot", *(["off", "row"] if keep else []))
     return out.join(whole.hint("merge"), "row").drop("row") if keep else out
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them (taken words over size, rounded), laid out in the order of the slots that draw them."""
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    taken = mix(docs, keep=True, **options).where("taken > 0").select("given", "slots", "off", "first_slot", times.alias("times")).where("times > 0")
+    copies = taken.select("given", "off", "slots", "first_slot", F.explode(F.sequence(F.lit(0), F.col("times") - 1)).alias("copy"))
+    slot = F.coalesce(F.get("slots", F.col("copy")), F.col("first_slot"))
+    rows = copies.select(slot.alias("slot"), "off", "given")
+    return rows.repartitionByRange(C.shuffle_partitions(docs.sparkSession), "slot", "off").sortWithinPartitions("slot", "off").select("given.*")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(C.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(C.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
