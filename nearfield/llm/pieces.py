@@ -40,7 +40,8 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-REMEMBER = 1_000_000
+#: parts that a worker remembers, about 400 bytes each: more of them save time, and a pipeline has memory for fewer
+REMEMBER, FEWER = 1_500_000, 300_000
 WIDE = 28
 #: longest part whose lattice is kept whole
 SHORT = 4096
@@ -83,8 +84,12 @@ class Lattice:
         #: spaces and what follows; a line break is a part of its own unless some piece holds one
         self.split = re.compile(r" *[^ ]+| +\Z" if any("\n" in p for p in self.pieces) else r" *[^ \n]+| +|\n").findall
         self.remember = remember
+        #: solved parts, those of late and those before
         self.known: dict = {}
+        self.old: dict = {}
         self.more: dict = {}
+        #: one object a number
+        self.number = list(range(len(self.spelled)))
 
     def _into(self, s: str) -> list[list]:
         """For each place, the pieces that end there: (start, ids, score)."""
@@ -137,11 +142,15 @@ class Lattice:
             j = since[j]
         r = (tuple(x for e in reversed(ids) for x in e), one[n], one[n] - two[n])
         if n <= 64:
-            if len(self.known) >= self.remember:
-                self.known = {}
+            self._keep(1)
             self.known[s] = r
         return r
 
+    def _keep(self, more: int) -> None:
+        """Room for ``more`` parts: when half of what may be remembered is new, the old half goes."""
+        if 2 * (len(self.known) + more) > self.remember:
+            self.known, self.old = {}, self.known
+
     def _tables(self) -> None:
         """Pieces by polynomial hash of their code points: tables of slots, each for what collides in the one before."""
         names = sorted(self.pieces)
@@ -151,13 +160,15 @@ class Lattice:
         self.score = np.array([self.pieces[x][1] for x in names] + [-np.inf])
         self.piece = np.array([self.pieces[x][0] for x in names] + [-1])
         self.keys, self.slots, left = np.append(keys, np.uint64(0)), [], np.arange(len(names))
-        for k in range(8):
+        for k in range(16):
             spread = np.uint64(pow(BASE, 2 * k + 3, 2**64))
-            at = (keys[left] * spread) >> np.uint64(42)
+            bits = 12 if k else 22  # few collide in the first
+            shift = np.uint64(64 - bits)
+            at = (keys[left] * spread) >> shift
             _, first = np.unique(at, return_index=True)
-            table = np.full(1 << 22, len(names), np.int32)
+            table = np.full(1 << bits, len(names), np.int32)
             table[at[first]] = left[first]
-            self.slots.append((spread, table))
+            self.slots.append((spread, shift, table))
             left = np.delete(left, first)
             if not len(left):
                 break
@@ -165,24 +176,27 @@ class Lattice:
     def _found(self, h: np.ndarray) -> np.ndarray:
         """Number of the piece with each hash, or the last number."""
         none = len(self.keys) - 1
-        spread, table = self.slots[0]
-        out = table[(h * spread) >> np.uint64(42)]
+        spread, shift, table = self.slots[0]
+        out = table[(h * spread) >> shift]
         taken = np.flatnonzero(out < none)
         again = taken[self.keys[out[taken]] != h[taken]]  # the slot is another piece's
         out[again] = none
-        for spread, table in self.slots[1:]:
-            at = table[(h[again] * spread) >> np.uint64(42)]
+        for spread, shift, table in self.slots[1:]:
+            at = table[(h[again] * spread) >> shift]
             out[again] = np.where(self.keys[at] == h[again], at, out[again])
         return out
 
     def learn(self, parts: set[str]) -> None:
         """``best`` for many parts at once: the same steps, for all parts of one length together."""
-        parts = {s for s in parts if s not in self.known}
         if not hasattr(self, "keys"):
             self._tables()
-        if len(self.known) + len(parts) > self.remember:
-            self.known = {}
+        self._keep(len(parts))
+        parts = {s for s in parts if s not in self.known}
+        again = parts & self.old.keys()
+        self.known.update((s, self.old[s]) for s in again)
+        parts -= again
         by_size: dict[int, list[str]] = {}
+        number = self.number.__getitem__
         for s in parts:
             if len(s) <= WIDE:
                 by_size.setdefault(len(s), []).append(s)
@@ -216,7 +230,7 @@ class Lattice:
                 used += live
                 at = np.where(live, step & 31, 0)
             for w, ids, k, a, b in zip(words, chain_.T.tolist(), used.tolist(), one[n].tolist(), (one[n] - two[n]).tolist()):
-                self.known[w] = (tuple(ids[:k][::-1]), a, b)
+                self.known[w] = (tuple(map(number, ids[:k][::-1])), a, b)
 
     def _ending(self, s: str, j: int) -> list[tuple]:
         """``_into(s)[j]``, for long parts: nothing is kept for the places that no way comes by."""
@@ -326,16 +340,16 @@ class Lattice:
 _LATTICES: dict = {}
 
 
-def lattice_of(model: tuple) -> Lattice:
+def lattice_of(model: tuple, remember: int) -> Lattice:
     """One lattice a worker and model, so that parts stay known from task to task."""
-    key = (len(model[0]), hash(frozenset(model[0].items())))
+    key = (len(model[0]), hash(frozenset(model[0].items())), remember)
     if key not in _LATTICES:
         _LATTICES.clear()
-        _LATTICES[key] = Lattice(model)
+        _LATTICES[key] = Lattice(model, remember)
     return _LATTICES[key]
 
 
-def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, n: int = BEST, remember: int = FEWER) -> DataFrame:
     """All columns of ``docs`` and ids, n_pieces, score, nbest (array of score and ids), decoded (in place of columns of these names)."""
     spark = C.ready(docs.sparkSession)
     docs = docs.drop(*ADDED)
@@ -344,7 +358,7 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
     nbest = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches):
-        lattice = lattice_of(held.value)
+        lattice = lattice_of(held.value, remember)
         for b in batches:
             for a in range(0, b.num_rows, 200):
                 p = b.slice(a, 200)
@@ -359,13 +373,13 @@ def encode(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, kind) for c, kind in ADDED.items())]))
 
 
-def digests(docs: DataFrame, model: str = MODEL, n: int = BEST) -> DataFrame:
+def digests(docs: DataFrame, model: str = MODEL, n: int = BEST, remember: int = REMEMBER) -> DataFrame:
     """doc_id, n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), score, nbest_scores, nbest_pieces, decoded_sha256, round_trip."""
     spark = C.ready(docs.sparkSession)
     held = spark.sparkContext.broadcast(read_model(model))
 
     def run(batches):
-        lattice = lattice_of(held.value)
+        lattice = lattice_of(held.value, remember)
         for b in batches:
             for a in range(0, b.num_rows, 1000):
                 p = b.slice(a, 1000)
