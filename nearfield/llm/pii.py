@@ -190,7 +190,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
             for t in b.column(0).to_pylist():
                 if t:
                     c.update({w.lower() for w in TERM.findall(t)})
-                if len(c) > 400_000:
+                if len(c) > 200_000:
                     yield pa.record_batch([pa.array(map(_hash, c), pa.int64()), pa.array(c.values(), pa.int32())], ["term", "n"])
                     c = Counter()
         yield pa.record_batch([pa.array(map(_hash, c), pa.int64()), pa.array(c.values(), pa.int32())], ["term", "n"])
