@@ -55,8 +55,8 @@ def node_level(node_id: Column, m: int = 16, seed: int = 42) -> Column:
     return F.floor(-F.log(u) / F.log(F.lit(float(m)))).cast("int")
 
 
-def register(df: DataFrame) -> None:
-    """SQL functions l2_distance(a, b) and cosine_distance(a, b) in the session of ``df``."""
+def register(df: DataFrame, view: str = "nearfield_vectors") -> None:
+    """SQL functions l2_distance(a, b), cosine_distance(a, b) and the table function knn(query, k): node_id, distance, rank by l2 over ``df`` (node_id, embedding)."""
     term = "zip_with(a, b, (x, y) -> {})"
     fold = "aggregate({}, 0D, (s, x) -> s + x)"
     dot = "aggregate(zip_with({0}, {1}, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)"
@@ -64,3 +64,11 @@ def register(df: DataFrame) -> None:
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION l2_distance(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN sqrt({fold.format(term.format('(double(x) - double(y)) * (double(x) - double(y))'))})")
     aa, bb, ab = dot.format("a", "a"), dot.format("b", "b"), dot.format("a", "b")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine_distance(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN CASE WHEN {aa} = 0 OR {bb} = 0 THEN 1D ELSE 1D - {ab} / (sqrt({aa}) * sqrt({bb})) END")
+    df.select("node_id", "embedding").createOrReplaceTempView(view)
+    # two levels of ranks: the k best of each of 1,024 hash ranges first, so that no task sees all rows
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION knn(query ARRAY<FLOAT>, k INT) RETURNS TABLE(node_id BIGINT, distance DOUBLE, rank INT) RETURN
+        SELECT node_id, d, r FROM (SELECT node_id, d, row_number() OVER (ORDER BY d, node_id) AS r FROM
+            (SELECT node_id, d, row_number() OVER (PARTITION BY pmod(xxhash64(node_id), 1024) ORDER BY d, node_id) AS p FROM
+                (SELECT v.node_id, l2_distance(query, v.embedding) AS d FROM {view} v)) WHERE p <= k) WHERE r <= k"""
+    )

@@ -30,9 +30,10 @@ def is_small(queries: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", spec: dict | None = None, match: Column | None = None) -> DataFrame:
-    """vectors(node_id, embedding, ...), queries(query_id, query): exact hits by expressions.
+    """vectors(node_id, embedding, ...), queries(query_id, query): exact hits.
 
-    ``spec`` filters all queries below the join; ``match`` is a condition on both sides.  Queries are broadcast if few, else the kernel runs.
+    ``spec`` filters all queries below the join; ``match`` is a condition on both sides.  A few queries are broadcast and scored by expressions; for
+    more the kernel gives the same hits and distances, bit for bit.  Vectors that are null, hold a null, or have another dimension than the query take no part.
     """
     if k < 1:
         raise ValueError("k must be 1 or more")
@@ -41,7 +42,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
     q = F.broadcast(queries) if is_small(queries) else queries
     pairs = filters.where(vectors, spec).join(q, F.lit(True) if match is None else match)
     scored = pairs.select("query_id", "node_id", distance(metric)(F.col("query"), F.col("embedding")).alias("distance"))
-    return top_k(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "node_id", "distance")
+    return top_k(scored.where("distance IS NOT NULL"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "node_id", "distance")
 
 
 def _as_expressed(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
@@ -102,9 +103,12 @@ def block_hits(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: st
 
 
 def knn_arrow(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", spec: dict | None = None) -> DataFrame:
-    """The same hits from matrix products: queries in blocks, each block of vectors keeps its k best by (distance, node_id), survivors are scored again."""
-    spark = ready(vectors.sparkSession)
+    """The same hits from matrix products: queries in blocks, and each task keeps a query's k best by (distance, node_id) over all its vectors."""
+    ready(vectors.sparkSession)
     few = is_small(queries)
+    first = queries.where("size(query) > 0").select(F.size("query")).limit(1).collect()
+    dim = first[0][0] if first else 0
+    whole = lambda c: (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull())
 
     # single precision only where the rows are: the cut is made in double
     kinds = {c: np.float32 if df.schema[c].dataType.elementType == FloatType() else np.float64 for df, c in ((queries, "query"), (vectors, "embedding"))}
@@ -119,24 +123,32 @@ def knn_arrow(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str =
                     x = np.array(p.column(1).to_pylist(), kind)
                     yield pa.record_batch([pa.array([p.column(0).to_numpy().tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "x"])
 
-        return df.select(F.col(key).cast("long"), value).mapInArrow(pack, "ids binary, x binary").toDF(f"{to}_ids", f"{to}_x")
+        return df.where(whole(value)).select(F.col(key).cast("long"), value).mapInArrow(pack, "ids binary, x binary").toDF(f"{to}_ids", f"{to}_x")
 
     def score(batches):
+        best: dict = {}  # by block of queries: (row of the block, node_id, distance), k a query at most
         for b in batches:
-            for qi, qx, vi, vx in zip(*(c.to_pylist() for c in b.columns)):
-                qi, vi = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
+            for block, qx, vi, vx in zip(*(c.to_pylist() for c in b.columns)):
+                qi, vi = np.frombuffer(block, np.int64), np.frombuffer(vi, np.int64)
                 q, v = (np.frombuffer(x, kinds[c]).reshape(len(i), -1) for x, i, c in ((qx, qi, "query"), (vx, vi, "embedding")))
                 row, col = block_hits(q, v, vi, k, metric)
-                yield pa.record_batch([qi[row], vi[col]], ["query_id", "node_id"])
+                away = np.concatenate([np.zeros(0), *(_as_expressed(q[row[i : i + PAIRS]], v[col[i : i + PAIRS]], metric) for i in range(0, len(row), PAIRS))])
+                row, node = row.astype(np.int64), vi[col]
+                if block in best:
+                    row, node, away = (np.concatenate(x) for x in zip(best[block], (row, node, away)))
+                order = np.lexsort((node, away, row))
+                row, node, away = row[order], node[order], away[order]
+                start = np.flatnonzero(np.r_[True, np.diff(row) != 0])[: len(row)]
+                keep = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+                best[block] = row[keep], node[keep], away[keep]
+        for block, (row, node, away) in best.items():
+            yield pa.record_batch([pa.array(np.frombuffer(block, np.int64)[row]), pa.array(node), pa.array(away)], ["query_id", "node_id", "distance"])
 
     kept = filters.where(vectors, spec).select("node_id", "embedding")
     blocks = packed(queries, "query_id", "query", "q")
     pairs = packed(kept, "node_id", "embedding", "v").join(F.broadcast(blocks) if few else blocks, F.lit(True)).select("q_ids", "q_x", "v_ids", "v_x")
-    near = pairs.mapInArrow(score, "query_id long, node_id long")
-    exact = near.join(kept, "node_id").join(F.broadcast(queries) if few else queries, "query_id")
-    scored = exact.select("query_id", "node_id", distance(metric)(F.col("query"), F.col("embedding")).alias("distance"))
-    del spark
-    return top_k(scored, k).select("query_id", F.col("rank").cast("int").alias("rank"), "node_id", "distance")
+    near = pairs.mapInArrow(score, "query_id long, node_id long, distance double")
+    return top_k(near, k).select("query_id", F.col("rank").cast("int").alias("rank"), "node_id", "distance")
 
 
 def post_filter_knn(vectors: DataFrame, queries: DataFrame, k: int, ef: int, spec: dict, metric: str = "l2") -> DataFrame:

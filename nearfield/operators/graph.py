@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distance import distance, node_level
-from . import exact
+from ..shipping import ready
+from . import exact, routing
+
+#: members of a cell that meet in one task
+CELL_ROWS = 4096
 
 
 def closest(vectors: DataFrame, m: int, metric: str = "l2", candidates: int | None = None) -> DataFrame:
@@ -19,6 +27,45 @@ def closest(vectors: DataFrame, m: int, metric: str = "l2", candidates: int | No
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(F.col("query_id").alias("src"), F.col("node_id").alias("dst"), "distance", "rank")
 
 
+def candidates(vectors: DataFrame, m: int, metric: str = "l2", probes: int = 6, seed: int = 42) -> DataFrame:
+    """src, dst, distance, rank: each node's m nearest others among the cells nearest to it, so that work grows with n ** 1.5 and not with n ** 2.
+
+    A cell holds 4 sqrt(n) vectors on average; members and askers of a cell meet in blocks of bounded size, so a large cell is many tasks.
+    """
+    spark = ready(vectors.sparkSession)
+    v = vectors.select("node_id", "embedding")
+    n = v.count()
+    if n < 2:
+        return spark.createDataFrame([], "src long, dst long, distance double, rank int")
+    placed, centres = routing.cells(v, max(2, round(n**0.5 / 4)), seed)
+    placed, centres = _cut(placed.select("node_id", "embedding", "cell")), centres.select(F.col("cell").cast("long").alias("node_id"), F.col("centre").alias("embedding"))
+    asked = v.select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query"))
+    nearest = exact.knn_arrow(centres, asked, probes, metric).select("query_id", F.col("node_id").cast("int").alias("cell"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias("blocks"))
+    members = placed.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("node_id"), "blocks").cast("int").alias("block"), "node_id", "embedding")
+    askers = nearest.join(sizes, "cell").join(asked, "query_id").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "query")
+
+    def score(t: pa.Table, q: pa.Table) -> pa.Table:
+        none = pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        if not t.num_rows or not q.num_rows:
+            return none
+        x, ids = np.array(t["embedding"].to_pylist(), np.float32), t["node_id"].to_numpy()
+        out = []
+        for at in range(0, q.num_rows, exact.BLOCK_ROWS):
+            part = q.slice(at, exact.BLOCK_ROWS)
+            y, src = np.array(part["query"].to_pylist(), np.float32), part["query_id"].to_numpy()
+            row, col = exact.block_hits(y, x, ids, m + 1, metric)
+            other = src[row] != ids[col]
+            row, col = row[other], col[other]
+            away = np.concatenate([np.zeros(0), *(exact._as_expressed(y[row[i : i + exact.PAIRS]], x[col[i : i + exact.PAIRS]], metric) for i in range(0, len(row), exact.PAIRS))])
+            out.append(pa.table({"src": src[row], "dst": ids[col], "distance": away}))
+        return pa.concat_tables(out) if out else none
+
+    near = members.groupBy("cell", "block").cogroup(askers.groupBy("cell", "block")).applyInArrow(score, "src long, dst long, distance double")
+    order = W.partitionBy("src").orderBy("distance", "dst")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m)
+
+
 def diverse(candidates: DataFrame, vectors: DataFrame, m: int, metric: str = "l2", keep_pruned: bool = True) -> DataFrame:
     """src, dst, distance: of each node's candidates, nearest first, those nearer to it than to any chosen before; then the nearest rejected ones up to m."""
     dist = distance(metric)
@@ -37,11 +84,17 @@ def diverse(candidates: DataFrame, vectors: DataFrame, m: int, metric: str = "l2
     return picked.select("src", F.explode(both).alias("x")).select("src", F.col("x.id").alias("dst"), F.col("x.d").alias("distance"))
 
 
-def reverse_prune(edges: DataFrame, m_max: int) -> DataFrame:
-    """Edges in both directions, the m_max nearest out-edges of each node."""
+def reverse_prune(edges: DataFrame, m_max: int, vectors: DataFrame | None = None, metric: str = "l2", keep_pruned: bool = True) -> DataFrame:
+    """Edges in both directions, m_max out-edges of each node: the nearest, or with ``vectors`` for nodes of more than m_max a diverse choice of their 4 m_max nearest."""
     both = edges.select("src", "dst", "distance").union(edges.select("dst", "src", "distance")).groupBy("src", "dst").agg(F.min("distance").alias("distance"))
     order = W.partitionBy("src").orderBy("distance", "dst")
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m_max)
+    if vectors is None:
+        return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m_max)
+    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 4 * m_max)
+    ranked = ranked.withColumn("degree", F.count(F.lit(1)).over(W.partitionBy("src")))
+    few = ranked.where(F.col("degree") <= m_max).select("src", "dst", "distance")
+    chosen = few.union(diverse(ranked.where(F.col("degree") > m_max), vectors, m_max, metric, keep_pruned).select("src", "dst", "distance"))
+    return chosen.withColumn("rank", F.row_number().over(order))
 
 
 def levels(vectors: DataFrame, m: int = 16, seed: int = 42) -> DataFrame:
@@ -55,14 +108,17 @@ def entry_point(leveled: DataFrame) -> DataFrame:
 
 def build(vectors: DataFrame, m: int = 16, ef_construction: int = 100, metric: str = "l2", heuristic: bool = True, keep_pruned: bool = True, seed: int = 42) -> DataFrame:
     """layer, src, dst, distance of every layer: a node stands on the layers up to its level; layer 0 keeps 2 m edges a node."""
-    leveled = vectors.join(levels(vectors, m, seed), "node_id").persist()
+    leveled = _cut(vectors.select("node_id", "embedding").join(levels(vectors, m, seed), "node_id"))
     top = leveled.agg(F.max("level")).first()[0]
     layers = []
     for layer in range((top if top is not None else -1) + 1):
         here = leveled.where(F.col("level") >= layer).select("node_id", "embedding")
-        near = closest(here, m, metric, ef_construction if heuristic else m)
-        chosen = diverse(near, here, m, metric, keep_pruned) if heuristic else near
-        layers.append(reverse_prune(chosen, 2 * m if layer == 0 else m).select(F.lit(layer).alias("layer"), "src", "dst", "distance"))
+        near = candidates(here, ef_construction if heuristic else m, metric, seed=seed)
+        chosen = _cut(diverse(near, here, m, metric, keep_pruned) if heuristic else near)
+        pruned = reverse_prune(chosen, 2 * m if layer == 0 else m, here if heuristic else None, metric, keep_pruned)
+        layers.append(_cut(pruned).select(F.lit(layer).alias("layer"), "src", "dst", "distance"))
+    if not layers:
+        return vectors.sparkSession.createDataFrame([], "layer int, src long, dst long, distance double")
     out = layers[0]
     for x in layers[1:]:
         out = out.union(x)
@@ -83,48 +139,76 @@ def degree_stats(edges: DataFrame) -> DataFrame:
     return degree.agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("edges"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))
 
 
-def reachable(edges: DataFrame, start: int, hops: int = 64) -> DataFrame:
-    """node_id, hop: nodes reached from ``start`` along edges, by frontier joins; each hop is checkpointed."""
+def reachable(edges: DataFrame, start: int) -> DataFrame:
+    """node_id, hop: all nodes reached from ``start`` along edges, by frontier joins until nothing is new; each hop is checkpointed."""
     spark = edges.sparkSession
     seen = spark.createDataFrame([(start, 0)], "node_id long, hop int")
-    frontier = seen
-    for hop in range(1, hops + 1):
+    frontier, hop = seen, 0
+    while True:
+        hop += 1
         frontier = frontier.join(edges, F.col("node_id") == F.col("src")).select(F.col("dst").alias("node_id")).distinct().join(seen.select("node_id"), "node_id", "left_anti").withColumn("hop", F.lit(hop))
         frontier = _cut(frontier)
         if frontier.isEmpty():
-            break
+            return seen
         seen = _cut(seen.union(frontier))
-    return seen
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Checkpointed in the folder that driver and executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearfield-"))
+        at = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="nearfield-")
+        sc.setCheckpointDir(at)
     return df.checkpoint()
 
 
-def beam_search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry: int, k: int = 10, ef: int = 50, metric: str = "l2", expand: int = 8, hops: int = 40, allowed: DataFrame | None = None) -> DataFrame:
-    """query_id, rank, node_id, distance, visited: all queries walk the graph together.
+def _scored(pairs: DataFrame, v: DataFrame, queries: DataFrame, metric: str) -> DataFrame:
+    d = distance(metric)
+    return pairs.join(v, "node_id").join(queries, "query_id").select("query_id", "node_id", d(F.col("query"), F.col("embedding")).alias("distance"))
+
+
+def descend(vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry: int, top: int, metric: str = "l2") -> DataFrame:
+    """query_id, node_id: where each query's walk of layer 0 starts, by greedy steps to nearer neighbours on the layers above, from the top down."""
+    v = vectors.select("node_id", "embedding")
+    here = _cut(_scored(queries.select("query_id", F.lit(entry).cast("long").alias("node_id")), v, queries, metric))
+    for layer in range(top, 0, -1):
+        steps = edges.where(F.col("layer") == layer).select("src", "dst")
+        moved = here
+        while not moved.isEmpty():
+            around = moved.join(steps, F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id"))
+            best = _scored(around, v, queries, metric).groupBy("query_id").agg(F.min(F.struct("distance", "node_id")).alias("x"))
+            moved = here.join(best, "query_id").where("x.distance < distance").select("query_id", "x.node_id", "x.distance")
+            moved = _cut(moved)
+            here = _cut(here.join(moved.select("query_id"), "query_id", "left_anti").unionByName(moved))
+    return here.select("query_id", "node_id")
+
+
+def beam_search(vectors: DataFrame, edges: DataFrame, queries: DataFrame, entry: int | DataFrame, k: int = 10, ef: int = 50, metric: str = "l2", expand: int = 8, budget: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, node_id, distance, visited: all queries walk the graph together, from one node or from each query's own (query_id, node_id).
 
     Each hop expands a query's ``expand`` best unexpanded nodes among its ``ef`` best, joins their neighbours, drops the
-    visited, and scores the rest.  Nodes outside ``allowed`` are walked through but not returned.
+    visited, and scores the rest.  A query ends when its ``ef`` best are all expanded, or when it has visited ``budget`` nodes.  Nodes outside ``allowed``
+    are walked through but not returned.
     """
-    dist, ef = distance(metric), max(ef, k)
-    queries = _cut(queries)
+    ef = max(ef, k)
+    queries = _cut(queries.select("query_id", "query"))
     v = vectors.select("node_id", "embedding")
-    score = lambda pairs: pairs.join(v, "node_id").join(queries, "query_id").select("query_id", "node_id", dist(F.col("query"), F.col("embedding")).alias("distance"))
-    seen = _cut(score(queries.select("query_id", F.lit(entry).cast("long").alias("node_id"))).withColumn("expanded", F.lit(False)))
-    best = W.partitionBy("query_id").orderBy("distance", "node_id")
-    for _ in range(hops):
-        beam = seen.withColumn("place", F.row_number().over(best)).where((F.col("place") <= ef) & ~F.col("expanded"))
+    start = entry if isinstance(entry, DataFrame) else queries.select("query_id", F.lit(entry).cast("long").alias("node_id"))
+    seen = _cut(_scored(start, v, queries, metric).withColumn("expanded", F.lit(False)))
+    of_query = W.partitionBy("query_id")
+    best = of_query.orderBy("distance", "node_id")
+    while True:
+        beam = seen.withColumn("place", F.row_number().over(best)).withColumn("visited", F.count(F.lit(1)).over(of_query))
+        beam = beam.where((F.col("place") <= ef) & ~F.col("expanded") & (F.lit(True) if budget is None else F.col("visited") < budget))
         turn = _cut(beam.withColumn("turn", F.row_number().over(best)).where(F.col("turn") <= expand).select("query_id", "node_id"))
         if turn.isEmpty():
             break
         new = turn.join(edges.select("src", "dst"), F.col("node_id") == F.col("src")).select("query_id", F.col("dst").alias("node_id")).distinct()
-        new = score(new.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")).withColumn("expanded", F.lit(False))
+        new = _scored(new.join(seen.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti"), v, queries, metric).withColumn("expanded", F.lit(False))
         done = seen.join(turn.withColumn("now", F.lit(True)), ["query_id", "node_id"], "left").select("query_id", "node_id", "distance", (F.col("expanded") | F.coalesce("now", F.lit(False))).alias("expanded"))
         seen = _cut(done.union(new))
     visited = seen.groupBy("query_id").agg(F.count(F.lit(1)).alias("visited"))

@@ -94,6 +94,32 @@ def knn_arrow(spark, sf):
     return exact.knn_arrow(v, asked(v), K)
 
 
+_O = "v AS (SELECT vec_id AS node_id, list_transform(embedding, lambda x: (1000 + x / 100)::FLOAT) AS embedding FROM embeddings)"
+
+
+def offset(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors far from the origin and close together: what a product in single precision can't tell apart."""
+    return vectors(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: (1000 + x / 100).cast("float")))
+
+
+@query(_hits(base=_O))
+def knn_offset(spark, sf):
+    v = offset(spark, sf)
+    return exact.knn(v, asked(v), K)
+
+
+@query(_hits(base=_O))
+def knn_arrow_offset(spark, sf):
+    v = offset(spark, sf)
+    return exact.knn_arrow(v, asked(v), K)
+
+
+@query(_hits(metric="cosine"))
+def knn_arrow_cosine(spark, sf):
+    v = vectors(spark, sf)
+    return exact.knn_arrow(v, asked(v), K, "cosine")
+
+
 @query(_hits("label = 3"))
 def knn_filtered_label(spark, sf):
     v = vectors(spark, sf)
@@ -187,7 +213,7 @@ def compact_edges(spark, sf):
     return store.compact(v, _ring(v), v.where("node_id % 10 = 0"))[1]
 
 
-@query("SELECT 'label' AS field, label::VARCHAR AS value, count(*) AS n FROM embeddings GROUP BY 2 UNION ALL SELECT 'm5', (vec_id % 5)::VARCHAR, count(*) FROM embeddings GROUP BY 2")
+@query("SELECT 'label' AS field, 'n:' || label::VARCHAR AS value, count(*) AS n FROM embeddings GROUP BY 2 UNION ALL SELECT 'm5', 'n:' || (vec_id % 5)::VARCHAR, count(*) FROM embeddings GROUP BY 2")
 def postings_counts(spark, sf):
     return filters.postings(vectors(spark, sf), ["label", "m5"]).groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))
 
@@ -198,6 +224,25 @@ def postings_and_bitmap(spark, sf):
     return filters.bitmap_and(maps, {"label": 3, "m5": 2}).agg(F.coalesce(F.sum(F.expr("bitmap_count(bits)")), F.lit(0)).alias("n"))
 
 
+def _kinds(spark, sf):
+    """A boolean, a float and a string field, the string written like a number."""
+    return vectors(spark, sf).select("node_id", (F.col("node_id") % 2 == 0).alias("even"), (F.col("label") / 4.0).alias("quarter"), F.col("label").cast("string").alias("written"), "label")
+
+
+@query("SELECT count(*) FILTER (vec_id % 2 = 0 AND label / 4.0 = 0.75) AS both, 0::BIGINT + count(*) FILTER (label / 4.0 = 1) AS whole, count(*) FILTER (label::VARCHAR = '3') AS written FROM embeddings")
+def bitmaps_of_kinds(spark, sf):
+    v = _kinds(spark, sf)
+    maps = filters.bitmaps(filters.postings(v, ["even", "quarter", "written"]))
+    n = lambda spec, name: filters.bitmap_and(maps, spec).agg(F.coalesce(F.sum(F.expr("bitmap_count(bits)")), F.lit(0)).alias(name))
+    return n({"even": True, "quarter": 0.75}, "both").join(n({"quarter": 1}, "whole")).join(n({"written": "3"}, "written"))  # one row each
+
+
+@query("SELECT count(*) FILTER (vec_id % 2 = 0) AS even, count(*) FILTER (label = 1) AS label_true, count(*) FILTER (label::VARCHAR = '3') AS written, (SELECT count(*) FROM embeddings WHERE label::VARCHAR = 'x') AS other FROM embeddings")
+def filter_kinds(spark, sf):
+    v = _kinds(spark, sf)
+    return v.agg(F.count_if(filters.predicate(v, {"even": 1.0})).alias("even"), F.count_if(filters.predicate(v, {"label": True})).alias("label_true"), F.count_if(filters.predicate(v, {"written": "3"})).alias("written"), F.count_if(filters.predicate(v, {"written": 3}) | filters.predicate(v, {"label": "3"})).alias("other"))
+
+
 @query(
     """WITH c AS (SELECT count(*) AS rows, count(*) FILTER (label = 3) AS matches FROM embeddings), s AS (SELECT *, matches / rows AS share FROM c),
  b AS (SELECT *, least(10, matches)::BIGINT AS target_k, least(least(10000, rows), greatest(50, round_even(4 * 50 / greatest(share, 1e-4), 0)))::BIGINT AS budget FROM s)
@@ -240,12 +285,28 @@ def graph_reverse_prune(spark, sf):
     return graph.reverse_prune(graph.closest(vectors(spark, sf), 8), 12).withColumn("rank", F.col("rank").cast("int"))
 
 
-@query()
+_NEAR = f"d AS (SELECT a.node_id AS src, b.node_id AS id, b.embedding AS v, {_l2('a.embedding', 'b.embedding')} AS d FROM v a, v b WHERE a.node_id != b.node_id), n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, id) AS rank FROM d), c AS (SELECT src, list({{'d': d, 'id': id, 'v': v}} ORDER BY rank) AS c FROM n WHERE rank <= 30 GROUP BY src)"
+_STEP = f"SELECT s.src, s.i + 1 AS i, s.chosen, s.rest, c.c[s.i + 1] AS x, len(s.chosen) >= 8 AS whole, len(list_filter(s.chosen, lambda r: {_l2('c.c[s.i + 1].v', 'r.v')} < c.c[s.i + 1].d)) > 0 AS bad FROM s JOIN c ON c.src = s.src WHERE s.i < len(c.c)"
+
+
+@query(
+    f"WITH RECURSIVE {_V}, {_NEAR}, s AS (SELECT src, 0::BIGINT AS i, c[1:0] AS chosen, c[1:0] AS rest FROM c UNION ALL SELECT src, i, CASE WHEN whole OR bad THEN chosen ELSE list_append(chosen, x) END, CASE WHEN bad AND NOT whole THEN list_append(rest, x) ELSE rest END FROM ({_STEP}))"
+    " SELECT src, p.id AS dst, p.d AS distance FROM (SELECT src, unnest(list_concat(chosen, rest)[1:8]) AS p FROM (SELECT s.src, s.chosen, s.rest FROM s JOIN c ON c.src = s.src WHERE s.i = len(c.c)))"
+)
 def graph_diverse_m(spark, sf):
     v = vectors(spark, sf)
     return graph.diverse(graph.closest(v, 30), v, 8)
 
 
+@query("SELECT count(*) AS nodes, true AS good FROM embeddings")
+def graph_candidates_recall(spark, sf):
+    """Share of the 10 nearest others that the cells' candidates hold: 0.9 or more."""
+    v = vectors(spark, sf)
+    name = {"src": "query_id", "dst": "node_id"}
+    r = evaluate.recall(graph.candidates(v, K).withColumnsRenamed(name), graph.closest(v, K).withColumnsRenamed(name))
+    return r.select(F.col("n_queries").alias("nodes"), (F.col("recall") >= 0.9).alias("good"))
+
+
 @query("SELECT vec_id AS node_id, floor(-ln((('0x' || substr(md5(vec_id::VARCHAR || ':42'), 1, 8))::BIGINT + 1) / 4294967297.0::DOUBLE) / ln(16.0::DOUBLE))::INT AS level FROM embeddings")
 def node_levels(spark, sf):
     return graph.levels(vectors(spark, sf))
@@ -302,6 +363,11 @@ def robust_range(spark, sf):
     return evaluate.robust(spark.read.parquet(f"{sf}/events.parquet"), "value")
 
 
+@query("WITH p AS (SELECT event_type, count(*) AS n, round(count(*) / nullif(epoch_us(max(ts)) / 1e6 - epoch_us(min(ts)) / 1e6, 0), 9) AS per_second FROM events GROUP BY 1) SELECT event_type, n, per_second, round(per_second / max(per_second) OVER (), 6) AS ratio FROM p")
+def throughput_ratio(spark, sf):
+    return evaluate.throughput(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "ts")
+
+
 @query(f"WITH l AS ({ORACLE_SQL['node_levels']}) SELECT (SELECT count(*) FROM embeddings WHERE vec_id % 10 != 0) AS size, 64::BIGINT AS dim, max(level) AS max_level FROM l WHERE node_id % 10 != 0")
 def index_stats(spark, sf):
     live = vectors(spark, sf).where("node_id % 10 != 0")
@@ -341,3 +407,30 @@ def beam_search_knn(spark, sf):
     edges = graph.reverse_prune(graph.closest(v, 16), 32).select("src", "dst").persist()
     start = graph.entry_point(graph.levels(v)).first()["entry_point"]
     return graph.beam_search(v, edges, asked(v), start, K, 50)
+
+
+_GOOD = f"SELECT count(*) AS n_queries, true AS good FROM embeddings WHERE vec_id % {EVERY} = 0"
+
+
+def _good(found: DataFrame, truth: DataFrame) -> DataFrame:
+    return evaluate.recall(found, truth).select("n_queries", (F.col("recall") >= 0.9).alias("good"))
+
+
+@query(_GOOD)
+def beam_search_recall(spark, sf):
+    """The layered graph, its descent and a beam of 100 against the exact hits: recall 0.9 or more."""
+    v = vectors(spark, sf)
+    edges = graph._cut(graph.build(v, m=16, ef_construction=60))
+    top = graph.entry_point(graph.levels(v)).first()
+    start = graph.descend(v, edges, asked(v), top["entry_point"], top["max_level"])
+    return _good(graph.beam_search(v, edges.where("layer = 0"), asked(v), start, K, 100), exact.knn(v, asked(v), K))
+
+
+@query(_GOOD)
+def routed_recall(spark, sf):
+    """Routed searches under a filter against the exact hits: recall 0.9 or more."""
+    v = vectors(spark, sf)
+    placed, centres = routing.cells(v, 16)
+    spec = {"m5": 2}
+    found = routing.search(v, asked(v), K, 50, spec, threshold=20, approximate=lambda q, k, b: routing.cell_search(placed, centres, q, k, b, spec=spec))
+    return _good(found, exact.knn(v, asked(v), K, spec=spec))
