@@ -128,3 +128,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = C.B
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(C.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same in DuckDB SQL, window by window."""
+    return rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    g AS (SELECT doc_id, i, array_to_string(ws[i:i + {window - 1}], ' ') AS words FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM d)),
+    f AS (SELECT words, min(doc_id) AS first FROM g GROUP BY words),
+    c AS (SELECT DISTINCT g.doc_id, g.i + j AS place FROM g JOIN f ON f.words = g.words AND f.first < g.doc_id, range({window}) t(j)),
+    k AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS place FROM d),
+    r AS (SELECT k.doc_id, count(c.place) AS n_removed, string_agg(word, ' ' ORDER BY k.place) FILTER (c.place IS NULL) AS kept FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.place = k.place GROUP BY k.doc_id)
+    SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r ON r.doc_id = d.doc_id"""

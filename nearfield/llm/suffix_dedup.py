@@ -416,3 +416,19 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(C.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The same in DuckDB SQL over texts written in hexadecimal, two digits a byte; strings are told apart by their md5."""
+    return f"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    g AS (SELECT doc_id, i, md5_number(substr(h, 2 * i - 1, {2 * length})) AS string FROM (SELECT doc_id, h, unnest(range(1, len(h) // 2 - {length - 2})) AS i FROM d)),
+    a AS (SELECT string FROM g GROUP BY string HAVING count(*) > 1),
+    r AS (SELECT g.doc_id, g.i FROM g JOIN a ON a.string = g.string),
+    n AS (SELECT *, i > lag(i, 1, -{2 * length}) OVER (PARTITION BY doc_id ORDER BY i) + {length} AS new FROM r),
+    m AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
+    s AS (SELECT doc_id, min(i) AS x, max(i) + {length - 1} AS y FROM m GROUP BY doc_id, span),
+    e AS (SELECT doc_id, x, y, lag(y, 1, 0) OVER (PARTITION BY doc_id ORDER BY x) + 1 AS since FROM s),
+    k AS (SELECT e.doc_id, count(*) AS n_spans, sum(y - x + 1) AS n_removed, string_agg(substr(h, 2 * since - 1, 2 * (x - since)), '' ORDER BY x) || substr(any_value(h), 2 * max(y) + 1) AS kept FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+    SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+    FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
