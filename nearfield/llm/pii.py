@@ -161,28 +161,30 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
     fields = [("doc_id", kind_of_id), *((f"n_{k}", T.LongType()) for k in KINDS[:4]), ("base", T.StringType())]
     schema = T.StructType([T.StructField(c, k) for c, k in [*fields, ("values", T.ArrayType(T.LongType())), ("same", T.LongType()), ("text", T.StringType()), ("rest", rest)]])
     found = C.cut(docs.mapInArrow(base, schema).withColumn("row", F.monotonically_increasing_id()))
-    held = found.where("base != ''").select("row", "same", "text", "base", F.explode("values").alias("value"))
+    held = found.where("base != ''").select("row", "same", F.explode("values").alias("value"))
     counts = held.groupBy("value").agg(F.count(F.lit(1)).alias("c_e"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= 2).select("value", "c_e")
-    strong = held.join(counts, "value").groupBy("row").agg(F.collect_list("value").alias("strong"))
-    rows = found.where("base != ''").select("row", "same", "text", "base").join(strong, "row")
-    pair = ("same", "value", "term")
+    # a text is looked at once, with the number of its rows
+    once = found.where("base != ''").groupBy("same").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("times")).select("row", "times")
+    strong = held.join(counts, "value").groupBy("row").agg(F.collect_list("value").alias("strong")).join(once, "row")
+    rows = found.where("base != ''").select("row", "text", "base").join(strong, "row")
+    pair = ("times", "value", "term")
 
     def beside(batches):
         for b in batches:
             out: dict = {k: [] for k in pair}
-            for same, t, s, vs in zip(*(x.to_pylist() for x in b.columns)):
+            for times, t, s, vs in zip(*(x.to_pylist() for x in b.columns)):
                 terms = sorted({_hash(w) for w, _, _ in _terms(t, _read(s))})
                 for v in vs:
                     out["term"] += terms
-                    for c, x in (("same", same), ("value", v)):
+                    for c, x in (("times", times), ("value", v)):
                         out[c] += [x] * len(terms)
                     if len(out["term"]) > 100_000:  # a text of many values and terms fills several batches
                         yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
                         out = {k: [] for k in pair}
             yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
-    together = rows.select("same", "text", "base", "strong").mapInArrow(beside, "same long, value long, term long")
-    pairs = together.groupBy("value", "term").agg(F.count(F.lit(1)).alias("c_et"), F.count_distinct("same").alias("texts")).where(F.col("texts") >= 2)
+    together = rows.select("times", "text", "base", "strong").mapInArrow(beside, "times long, value long, term long")
+    pairs = together.groupBy("value", "term").agg(F.sum("times").alias("c_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= 2)
 
     def count_terms(batches):
         c: Counter = Counter()
@@ -190,7 +192,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
             for t in b.column(0).to_pylist():
                 if t:
                     c.update({w.lower() for w in TERM.findall(t)})
-                if len(c) > 200_000:
+                if len(c) > 400_000:
                     yield pa.record_batch([pa.array(map(_hash, c), pa.int64()), pa.array(c.values(), pa.int32())], ["term", "n"])
                     c = Counter()
         yield pa.record_batch([pa.array(map(_hash, c), pa.int64()), pa.array(c.values(), pa.int32())], ["term", "n"])
@@ -230,7 +232,7 @@ def find(docs: DataFrame, keep: tuple[str, ...] = (), support: int = SUPPORT, di
     salted = telling.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     if maps:
         seen = found.select("row", "text", "base").mapInArrow(passing, "row long, term long, at array<int>").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-        flags = seen.join(salted, ["term", "salt"], "left_semi").groupBy("row").agg(F.flatten(F.collect_list("at")).alias("flags"))
+        flags = seen.join(salted.hint("merge"), ["term", "salt"], "left_semi").groupBy("row").agg(F.flatten(F.collect_list("at")).alias("flags"))
     else:
         flags = found.limit(0).select("row", F.array().cast("array<int>").alias("flags"))
 
