@@ -63,11 +63,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The text's pieces: ids, their number and score, and whether decoding gives the text back."""
-    out = pieces.encode(docs.select("text", _given(docs)), n=1)
-    own = ("ids", "n_pieces", "score", "round_trip")
-    back = (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
-    return out.select(*(F.col("given").getField(c).alias(c) for c in docs.columns if c not in own), "ids", "n_pieces", "score", back)
+    """The text's pieces: ids of the best way, their number and score, the scores of the best ways, and whether decoding gives the text back."""
+    out = pieces.encode(docs.select("text", _given(docs)), n=pieces.BEST)
+    own = ("ids", "n_pieces", "score", "nbest_scores", "round_trip")
+    scores, back = F.col("nbest.score").alias("nbest_scores"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip")
+    return out.select(*(F.col("given").getField(c).alias(c) for c in docs.columns if c not in own), "ids", "n_pieces", "score", scores, back)
 
 
 STAGES = [
