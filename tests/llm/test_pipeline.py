@@ -1,7 +1,9 @@
 """The pipeline's stages on the smallest tables: columns, counts and decisions."""
 
+import pytest
+
 import corpus_pipeline
-from nearfield.llm import common, mixing, near_dedup, pii
+from nearfield.llm import common, mixing, near_dedup, pieces, pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +23,10 @@ def test_stages(spark):
             assert {r[0]: r[1] for r in after.groupBy("doc_id").count().collect()} == {k: n for k, n in want.items() if n}
         elif name == "pieces":
             assert after.count() == before.count() and after.where("NOT round_trip").isEmpty()
+            lattice = pieces.Lattice(pieces.read_model())
+            for r in after.limit(40).collect():
+                want = lattice.encode(r["text"], pieces.BEST)
+                assert r["ids"] == list(want[0][1]) and r["nbest_scores"] == pytest.approx([x for x, _ in want]) and len(want) == pieces.BEST
         else:
             assert 0 < after.count() < before.count()
         before = after
