@@ -45,6 +45,11 @@ def retry_budget(budget: Column) -> Column:
     return F.least(F.lit(20000), F.greatest(2 * budget, F.lit(5000))).cast("long")
 
 
+def retry_ef(ef: Column, target_k: Column) -> Column:
+    """Width of the second try, for queries that found too few."""
+    return F.greatest(ef, 2 * target_k).cast("long")
+
+
 def post_filter_ef(k: int, share: Column, c: float = 1.0) -> Column:
     return F.least(F.lit(10000), F.greatest(F.lit(k), F.bround(c * k / share))).cast("long")
 

@@ -97,6 +97,31 @@ def reverse_prune(edges: DataFrame, m_max: int, vectors: DataFrame | None = None
     return chosen.withColumn("rank", F.row_number().over(order))
 
 
+def healed(edges: DataFrame, vectors: DataFrame, removed: DataFrame, m_max: int, metric: str = "l2") -> DataFrame:
+    """src, dst, distance without the removed nodes: nodes that pointed at one get the nodes behind it, over runs of removed nodes as well, m_max nearest of all.
+
+    Only pairs that lead into removed nodes are followed; edges of all other nodes stay as they are.
+    """
+    gone = removed.select("node_id").distinct()
+    own = edges.groupBy("src", "dst").agg(F.min("distance").alias("distance"))
+    into, out_of = gone.withColumnRenamed("node_id", "dst"), gone.withColumnRenamed("node_id", "src")
+    kept = own.join(out_of, "src", "left_anti").join(into, "dst", "left_anti")
+    behind = own.join(out_of, "src", "left_semi").select(F.col("src").alias("via"), "dst")
+    step = _cut(own.join(out_of, "src", "left_anti").join(into, "dst", "left_semi").select("src", F.col("dst").alias("via")))
+    hurt, seen, found = step.select("src").distinct(), step, step.select("src", F.col("via").alias("dst")).limit(0)
+    while not step.isEmpty():
+        reached = _cut(step.join(behind, "via").where("src != dst").select("src", "dst").distinct())
+        found = found.union(reached.join(into, "dst", "left_anti").select("src", "dst"))
+        step = _cut(reached.join(into, "dst", "left_semi").select("src", F.col("dst").alias("via")).join(seen, ["src", "via"], "left_anti"))
+        seen = seen.union(step)
+    new = found.distinct().join(kept, ["src", "dst"], "left_anti")
+    a, b = vectors.select(F.col("node_id").alias("src"), F.col("embedding").alias("a")), vectors.select(F.col("node_id").alias("dst"), F.col("embedding").alias("b"))
+    new = new.join(a, "src").join(b, "dst").select("src", "dst", distance(metric)(F.col("a"), F.col("b")).alias("distance"))
+    order = W.partitionBy("src").orderBy("distance", "dst")
+    chosen = kept.join(hurt, "src", "left_semi").select("src", "dst", "distance").union(new).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= m_max)
+    return kept.join(hurt, "src", "left_anti").select("src", "dst", "distance").union(chosen.drop("rank"))
+
+
 def levels(vectors: DataFrame, m: int = 16, seed: int = 42) -> DataFrame:
     return vectors.select("node_id", node_level(F.col("node_id"), m, seed).alias("level"))
 

@@ -285,6 +285,18 @@ def graph_reverse_prune(spark, sf):
     return graph.reverse_prune(graph.closest(vectors(spark, sf), 8), 12).withColumn("rank", F.col("rank").cast("int"))
 
 
+_BRIDGED = "x(src, dst) AS (SELECT src, dst FROM g WHERE src % 10 != 0 AND dst % 10 = 0 UNION SELECT x.src, g.dst FROM x JOIN g ON g.src = x.dst WHERE x.dst % 10 = 0 AND g.dst != x.src)"
+
+
+@query(
+    "WITH RECURSIVE " + _GRAPH.removeprefix("WITH ") + f", {_BRIDGED}, c AS (SELECT src, dst FROM x WHERE dst % 10 != 0 UNION SELECT src, dst FROM g WHERE src % 10 != 0 AND dst % 10 != 0)"
+    " SELECT src, dst, distance FROM (SELECT src, dst, distance, row_number() OVER (PARTITION BY src ORDER BY distance, dst) AS rank FROM c JOIN d USING (src, dst)) WHERE rank <= 9"
+)
+def healed_edges(spark, sf):
+    v = vectors(spark, sf)
+    return graph.healed(graph.closest(v, 8), v, v.where("node_id % 10 = 0"), 9)
+
+
 _NEAR = f"d AS (SELECT a.node_id AS src, b.node_id AS id, b.embedding AS v, {_l2('a.embedding', 'b.embedding')} AS d FROM v a, v b WHERE a.node_id != b.node_id), n AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d, id) AS rank FROM d), c AS (SELECT src, list({{'d': d, 'id': id, 'v': v}} ORDER BY rank) AS c FROM n WHERE rank <= 30 GROUP BY src)"
 _STEP = f"SELECT s.src, s.i + 1 AS i, s.chosen, s.rest, c.c[s.i + 1] AS x, len(s.chosen) >= 8 AS whole, len(list_filter(s.chosen, lambda r: {_l2('c.c[s.i + 1].v', 'r.v')} < c.c[s.i + 1].d)) > 0 AS bad FROM s JOIN c ON c.src = s.src WHERE s.i < len(c.c)"
 
@@ -386,6 +398,23 @@ def selectivity(spark, sf):
     return v.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / total)
 
 
+@query(
+    "WITH s AS (SELECT label, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM embeddings GROUP BY label)"
+    " SELECT label, least(10000, greatest(10, round_even(10 / share, 0)))::BIGINT AS post_filter, greatest(50, 2 * least(n, 40))::BIGINT AS retry FROM s"
+)
+def search_widths(spark, sf):
+    """Widths that a filter on each label asks for: of a search that filters afterwards (k = 10), and of a second try (ef = 50, k = 40)."""
+    s = selectivity(spark, sf)
+    return s.select("label", D.post_filter_ef(10, F.col("share")).alias("post_filter"), D.retry_ef(F.lit(50), F.least("n", F.lit(40))).alias("retry"))
+
+
+@query(f"WITH {_V}, n AS (SELECT node_id, list_transform(embedding, lambda x: (x * 10::DOUBLE / sqrt({_DOT.format('embedding', 'embedding')}))::FLOAT) AS embedding FROM v WHERE {_DOT.format('embedding', 'embedding')} > 0) SELECT node_id, round({_DOT.format('embedding', 'embedding')}, 3) AS square, round(embedding[1]::DOUBLE, 4) AS first FROM n")
+def scaled_vectors(spark, sf):
+    """Vectors brought to length 10."""
+    v = vectors(spark, sf).select("node_id", D.scaled_to(F.col("embedding"), 10.0).alias("e"))
+    return v.select("node_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("square"), F.round(F.get("e", F.lit(0)).cast("double"), 4).alias("first")).where("square > 0")
+
+
 @query()
 def ivf_knn(spark, sf):
     v = vectors(spark, sf)
