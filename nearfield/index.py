@@ -133,14 +133,14 @@ class VectorIndex:
         looks at all rows that came after it exactly."""
         live, edges, now = self.rows(), self.store.edges(), self.store.current()
         self._visited: dict = {}
-        approximate = None
+        approximate = again = None
         if edges is not None and now.get("entry_point") is not None:
             base, later = self.store.base(now), store.fold(self.store.changes(now["seq"]))
             allowed = filters.where(base, spec).join(later.select("node_id"), "node_id", "left_anti")
             fresh = later.where(F.col("op") == INSERT).select("node_id", "embedding", "metadata")
             ground, width = edges.where("layer = 0").select("src", "dst"), ef or self.config.ef_search
 
-            def approximate(q, k, budget):
+            def approximate(q, k, budget, width=width):
                 start = graph.descend(base, edges, q, now["entry_point"], now["max_level"], self.config.metric)
                 old = graph._cut(graph.beam_search(base, ground, q, start, k, max(k, width), self.config.metric, budget=budget, allowed=allowed))
                 for r in old.groupBy("query_id").agg(F.max("visited").alias("n")).limit(10_000).collect():  # for the statistics of small batches
@@ -149,10 +149,13 @@ class VectorIndex:
                 both = old.select("query_id", "node_id", "distance").union(new.select("query_id", "node_id", "distance"))
                 return exact.top_k(both, k)
 
+            def again(q, k, budget):
+                return approximate(q, k, budget, max(width, 2 * k))
+
         def escalated(n: int) -> None:
             self.escalations += n
 
-        return routing.search(live, queries, k, ef or self.config.ef_search, spec, self.config.metric, self.config.filter_fallback_threshold, approximate, escalated)
+        return routing.search(live, queries, k, ef or self.config.ef_search, spec, self.config.metric, self.config.filter_fallback_threshold, approximate, escalated, again)
 
     # state
 
