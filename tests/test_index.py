@@ -165,3 +165,20 @@ def test_sql_functions(spark, clustered):
     q = frame(spark, clustered[4:5], "query_id", "query")
     assert [(r["node_id"], r["distance"]) for r in got] == [(r["node_id"], r["distance"]) for r in exact.knn(v, q, 3).orderBy("rank").collect()]
     assert spark.sql("SELECT cosine_distance(array(1F, 0F), array(0F, 2F)) AS d").first()["d"] == 1.0
+
+
+def test_healing_bridges_runs_of_removed_nodes(spark):
+    v = frame(spark, [[float(i), 0.0] for i in range(8)])
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(7)] + [(3, 2, 1.0), (0, 7, 7.0)], "src long, dst long, distance double")
+    gone = v.where("node_id IN (2, 3, 4)")
+    got = {(r["src"], r["dst"]): r["distance"] for r in graph.healed(line, v, gone, 4).collect()}
+    assert got == {(0, 1): 1.0, (0, 7): 7.0, (1, 5): 4.0, (5, 6): 1.0, (6, 7): 1.0}
+    assert {(r["src"], r["dst"]) for r in graph.healed(line, v, v.limit(0), 1).collect()} == {(r["src"], r["dst"]) for r in line.collect()}
+
+
+def test_second_try_goes_its_own_way(spark, clustered):
+    v, q = frame(spark, clustered), frame(spark, clustered[:6], "query_id", "query")
+    first = lambda q, k, b: exact.knn(v, q.where("query_id < 4"), k)
+    told = []
+    got = routing.search(v, q, 5, 16, None, threshold=0, approximate=first, again=lambda q, k, b: exact.knn(v, q.where("query_id = 4"), k), escalated=told.append)
+    assert {(r["query_id"], r["route"]) for r in got.collect()} == {(0, "approximate"), (1, "approximate"), (2, "approximate"), (3, "approximate"), (4, "retried"), (5, "escalated")} and told == [1]
