@@ -37,6 +37,24 @@ def test_beam_search_recall_and_monotone(spark):
     assert (bad["dangling"], bad["loops"]) == (0, 0)
 
 
+def test_a_long_walk_keeps_its_plans_small(spark, monkeypatch):
+    """Each of 30 hops joins what the last one left: the sizes that plans are told must not multiply from hop to hop."""
+    v = frame(spark, [[float(i)] for i in range(31)])
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long")
+    cut, bits = graph._cut, []
+
+    def told(df):
+        out = cut(df)
+        size = out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        bits.append(size.bit_length() if isinstance(size, int) else size.bitLength())
+        return out
+
+    monkeypatch.setattr(graph, "_cut", told)
+    hits = graph.beam_search(v, edges, frame(spark, [[30.0]], "query_id", "query"), 0, 3, 4, expand=1).orderBy("rank").collect()
+    assert [(r["node_id"], r["visited"]) for r in hits] == [(30, 31), (29, 31), (28, 31)]
+    assert len(bits) > 60 and max(bits) < 64
+
+
 def test_diverse_selection_matches_plain_python(spark):
     x = np.random.default_rng(3).standard_normal((60, 8)).astype(np.float32)
     v = frame(spark, x)
