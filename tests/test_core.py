@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nearfield.functions.distance import distance
 from nearfield.index import VectorIndex
 from nearfield.model import CHANGES, Config, check_filter, tagged
 from nearfield.operators import evaluate, exact, graph, routing
@@ -175,3 +176,18 @@ def test_kernel_keeps_copies_and_near_copies(spark, metric):
     assert exact.knn_arrow(v, q, 10, metric).orderBy("query_id", "rank").collect() == want
     if metric == "l2":
         assert [r["node_id"] for r in want[:10]] == list(range(0, 30, 3))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_more_than_a_few_queries_take_the_kernel(spark, metric):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(y) for y in rng.standard_normal(4 if i % 3 else 6)]) for i in range(120)]
+    v = spark.createDataFrame(rows, "node_id long, embedding array<float>").persist()
+    q = v.toDF("query_id", "query").persist()
+    got = exact.knn(v, q, 5, metric)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    pairs = v.join(q, F.size("query") == F.size("embedding")).select("query_id", "node_id", distance(metric)(F.col("query"), F.col("embedding")).alias("distance"))
+    want = exact.top_k(pairs, 5).select("query_id", F.col("rank").cast("int").alias("rank"), "node_id", "distance")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    unnamed = v.union(spark.createDataFrame([(None, rows[0][1])], v.schema))
+    assert exact.knn(unnamed, q, 5, metric).where("query_id = 0 AND node_id IS NULL").count() == 1
