@@ -182,3 +182,13 @@ def test_second_try_goes_its_own_way(spark, clustered):
     told = []
     got = routing.search(v, q, 5, 16, None, threshold=0, approximate=first, again=lambda q, k, b: exact.knn(v, q.where("query_id = 4"), k), escalated=told.append)
     assert {(r["query_id"], r["route"]) for r in got.collect()} == {(0, "approximate"), (1, "approximate"), (2, "approximate"), (3, "approximate"), (4, "retried"), (5, "escalated")} and told == [1]
+
+
+def test_candidates_without_structure_and_with(spark):
+    """Six cells hold too few of the nearest others where vectors have no structure, and are enough in clusters."""
+    rng = np.random.default_rng(8)
+    name = {"src": "query_id", "dst": "node_id"}
+    for x in (rng.standard_normal((2500, 48)), rng.standard_normal((12, 48)).repeat(209, 0) * 20 + rng.standard_normal((2508, 48))):
+        v = frame(spark, x.astype(np.float32)).persist()
+        found, truth = (f(v, 10).withColumnsRenamed(name).persist() for f in (graph.candidates, graph.closest))
+        assert evaluate.recall(found, truth).first()["recall"] >= 0.9 and found.groupBy("query_id").count().where("count != 10").isEmpty()
