@@ -192,3 +192,20 @@ def test_candidates_without_structure_and_with(spark):
         v = frame(spark, x.astype(np.float32)).persist()
         found, truth = (f(v, 10).withColumnsRenamed(name).persist() for f in (graph.candidates, graph.closest))
         assert evaluate.recall(found, truth).first()["recall"] >= 0.9 and found.groupBy("query_id").count().where("count != 10").isEmpty()
+
+
+def test_cell_search_has_the_budget_that_recall_needs(spark):
+    """A budget of 100 rows holds few of the exact hits where vectors have no structure; filters and rows outside them count as before."""
+    x = np.random.default_rng(9).standard_normal((2000, 48)).astype(np.float32)
+    v = frame(spark, x).withColumn("m", (F.col("node_id") % 2).cast("int")).persist()
+    q = v.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query")).persist()
+    placed, centres = routing.cells(v, 16)
+    truth = exact.knn(v, q, 10, spec={"m": 1}).persist()
+    few, whole = (routing.cell_search(placed, centres, q, 10, 100, spec={"m": 1}, recall=r).persist() for r in (None, 0.95))
+    assert evaluate.recall(few, truth).first()["recall"] < 0.9 <= evaluate.recall(whole, truth).first()["recall"]
+    assert whole.where("node_id % 2 = 0 OR visited > 1000").isEmpty() and whole.groupBy("query_id").count().where("count != 10").isEmpty()
+    near = v.withColumn("embedding", F.array_repeat(F.floor(F.col("node_id") / 125).cast("float"), 4))
+    placed, centres = routing.cells(near, 16)
+    asked = near.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = routing.cell_search(placed, centres, asked, 5, 100, recall=0.95).persist()
+    assert evaluate.recall(hits, exact.knn(near, asked, 5)).first()["recall"] >= 0.95 and hits.agg(F.max("visited")).first()[0] < 1000
