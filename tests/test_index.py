@@ -209,3 +209,16 @@ def test_cell_search_has_the_budget_that_recall_needs(spark):
     asked = near.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query"))
     hits = routing.cell_search(placed, centres, asked, 5, 100, recall=0.95).persist()
     assert evaluate.recall(hits, exact.knn(near, asked, 5)).first()["recall"] >= 0.95 and hits.agg(F.max("visited")).first()[0] < 1000
+
+
+def test_walks_widen_until_a_sample_is_found(spark):
+    """A beam of 10 is too narrow without structure; a graph in parts is not walked to the end, so all vectors are scored."""
+    v = frame(spark, np.random.default_rng(10).standard_normal((800, 32)).astype(np.float32)).persist()
+    q = v.where("node_id % 50 = 0").select(F.col("node_id").alias("query_id"), F.col("embedding").alias("query")).persist()
+    edges, truth = graph.reverse_prune(graph.closest(v, 4), 6).persist(), exact.knn(v, q, 10).persist()
+    narrow, wide, parts = (graph.beam_search(v, e, q, 0, 10, 10, recall=r) for e, r in ((edges, None), (edges, 0.95), (edges.where("src % 2 = dst % 2 AND src < 0"), 0.95)))
+    assert evaluate.recall(narrow, truth).first()["recall"] < 0.9 <= evaluate.recall(wide, truth).first()["recall"]
+    assert wide.groupBy("query_id").count().where("count != 10").isEmpty() and wide.agg(F.max("visited")).first()[0] <= 800
+    assert parts.drop("visited").exceptAll(truth).isEmpty() and parts.count() == truth.count()
+    with pytest.raises(ValueError):
+        graph.beam_search(v, edges, q, 0, 10, 10, budget=5, recall=0.95)
