@@ -5,7 +5,7 @@ pieces.  Forward Viterbi gives every place the score of the best way to it.  A-s
 that score as its heuristic; the heuristic is exact, so segmentations leave the heap best first.
 
 No piece holds a space after another character or a line break, so the lattice falls apart there: parts are solved
-once and remembered.  A text's N best differ from the best in the N - 1 parts that lose least by their second best way (found by keeping two scores a place); A-star runs over those parts, and its own results are merged best first.
+once, many at a time, and remembered as arrays.  A text's N best differ from the best in the N - 1 parts that lose least by their second best way (found by keeping two scores a place); A-star runs over those parts, and its own results are merged best first.
 
 The model file gives pieces and ranks (its scores are minus the rank).  A path's score is the sum of log probabilities of a Zipf law
 over ranks, so that fewer pieces are better; nothing is trained.  The file is read by the driver, and executors get the 32,000 pieces.
@@ -28,8 +28,8 @@ import os
 import re
 from array import array
 from bisect import insort
-from itertools import accumulate, chain, count
-from operator import itemgetter
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +40,17 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BEST = 4
-#: parts that a worker remembers, about 400 bytes each: more of them save time, and a pipeline has memory for fewer
+#: parts that a worker remembers: more of them save time, and a pipeline has memory for fewer
 REMEMBER, FEWER = 1_500_000, 300_000
-WIDE = 28
+#: longest part that is remembered
+SHORT_PART = 64
+#: parts solved together, code points of the texts worked on together
+TOGETHER, ROOM = 8192, 4 << 20
 #: longest part whose lattice is kept whole
 SHORT = 4096
 BASE = 0x9E3779B97F4A7C15
-IDS, SCORE, LOSS = map(itemgetter, range(3))
 IDS_TYPE = T.ArrayType(T.IntegerType())
+NONE = np.zeros(0, np.int32)
 ADDED = {"ids": IDS_TYPE, "n_pieces": T.LongType(), "score": T.DoubleType(), "nbest": T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("ids", IDS_TYPE)])), "decoded": T.StringType()}
 
 
@@ -71,6 +74,62 @@ def read_model(path: str = MODEL) -> tuple[dict[str, tuple[int, float]], list[in
     return pieces, byte_ids, spelled
 
 
+class Column:
+    """Numbers that grow at the end."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.empty(1024, kind), 0
+
+    def add(self, x: np.ndarray) -> None:
+        size = self.size + len(x)
+        if size > len(self.room):
+            room = np.empty(max(size, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.all
+            self.room = room
+        self.room[self.size : size] = x
+        self.size = size
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+def runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run behind the other."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class Solved:
+    """Solved parts by number: ids and score of the best way, and what the second best loses (infinite: there is none)."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.size, self.score, self.loss = Column(np.int32), Column(np.int32), Column(np.float64), Column(np.float64)
+        #: where the ids start
+        self.start = Column(np.int64)
+
+    def add(self, ids: np.ndarray, size: np.ndarray, score: np.ndarray, loss: np.ndarray) -> int:
+        """Number of the first."""
+        first = self.size.size
+        self.start.add(self.ids.size + np.cumsum(size) - size)
+        for column, x in ((self.ids, ids), (self.size, size), (self.score, score), (self.loss, loss)):
+            column.add(x)
+        return first
+
+    def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, sizes, scores and losses of parts."""
+        size = self.size.all[k]
+        return self.ids.all[runs(self.start.all[k], size)], size, self.score.all[k], self.loss.all[k]
+
+    def cut(self, first: int) -> None:
+        """Forgets the parts from this number on, which have no name."""
+        if first < self.size.size:
+            self.ids.size = int(self.start.all[first])
+            for column in (self.size, self.score, self.loss, self.start):
+                column.size = first
+
+
 class Lattice:
     """Segmentations of parts of a text."""
 
@@ -85,11 +144,9 @@ class Lattice:
         self.split = re.compile(r" *[^ ]+| +\Z" if any("\n" in p for p in self.pieces) else r" *[^ \n]+| +|\n").findall
         self.remember = remember
         #: solved parts, those of late and those before
-        self.known: dict = {}
-        self.old: dict = {}
+        self.late, self.old = Solved(), Solved()
         self.more: dict = {}
-        #: one object a number
-        self.number = list(range(len(self.spelled)))
+        self.spelling = pa.array([x or b"" for x in self.spelled], pa.large_binary())
 
     def _into(self, s: str) -> list[list]:
         """For each place, the pieces that end there: (start, ids, score)."""
@@ -140,97 +197,139 @@ class Lattice:
         while j:
             ids.append(by[j])
             j = since[j]
-        r = (tuple(x for e in reversed(ids) for x in e), one[n], one[n] - two[n])
-        if n <= 64:
-            self._keep(1)
-            self.known[s] = r
-        return r
-
-    def _keep(self, more: int) -> None:
-        """Room for ``more`` parts: when half of what may be remembered is new, the old half goes."""
-        if 2 * (len(self.known) + more) > self.remember:
-            self.known, self.old = {}, self.known
+        return tuple(x for e in reversed(ids) for x in e), one[n], one[n] - two[n]
 
     def _tables(self) -> None:
-        """Pieces by polynomial hash of their code points: tables of slots, each for what collides in the one before."""
-        names = sorted(self.pieces)
-        self.longest = max(map(len, names))
-        self.power = np.array([pow(BASE, k, 2**64) for k in range(WIDE + 1)], np.uint64)
-        keys = np.array([sum(ord(c) * pow(BASE, len(x) - 1 - k, 2**64) for k, c in enumerate(x)) % 2**64 for x in names], np.uint64)
-        self.score = np.array([self.pieces[x][1] for x in names] + [-np.inf])
-        self.piece = np.array([self.pieces[x][0] for x in names] + [-1])
-        self.keys, self.slots, left = np.append(keys, np.uint64(0)), [], np.arange(len(names))
-        for k in range(16):
-            spread = np.uint64(pow(BASE, 2 * k + 3, 2**64))
-            bits = 12 if k else 22  # few collide in the first
+        """The pieces' beginnings as nodes of a trie: steps by (node, character) in tables of slots, each for what collides in the one before."""
+        names = sorted(self.prefixes, key=lambda x: (len(x), x))
+        node = {x: k for k, x in enumerate(names)}
+        chars = sorted({c for x in names for c in x})
+        rank = {c: k + 1 for k, c in enumerate(chars)}
+        self.rank = np.zeros(0x110000, np.int32)  # 0: in no piece
+        self.rank[list(map(ord, chars))] = np.arange(1, len(chars) + 1)
+        self.first = np.full(len(chars) + 1, -1, np.int32)  # node of each character alone
+        one = [x for x in names if len(x) == 1]
+        self.first[[rank[x] for x in one]] = [node[x] for x in one]
+        found = [self.prefixes[x] for x in names]
+        self.piece = np.array([p[0] if p else -1 for p in found], np.int32)
+        self.score = np.array([p[1] if p else -np.inf for p in found])
+        self.spread = np.uint64(len(chars) + 1)
+        longer = [x for x in names if len(x) > 1]
+        to = np.array([node[x] for x in longer], np.int32)
+        keys = np.array([node[x[:-1]] for x in longer], np.uint64) * self.spread + np.array([rank[x[-1]] for x in longer], np.uint64)
+        self.keys, self.slots, left = np.zeros(len(names) + 1, np.uint64), [], np.arange(len(longer))
+        self.keys[to] = keys
+        k = 0
+        while k == 0 or len(left):
+            by = np.uint64(pow(BASE, 2 * k + 3, 2**64))
+            bits = 12 if k else 20  # few collide in the first
             shift = np.uint64(64 - bits)
-            at = (keys[left] * spread) >> shift
+            at = (keys[left] * by) >> shift
             _, first = np.unique(at, return_index=True)
             table = np.full(1 << bits, len(names), np.int32)
-            table[at[first]] = left[first]
-            self.slots.append((spread, shift, table))
+            table[at[first]] = to[left[first]]
+            self.slots.append((by, shift, table))
             left = np.delete(left, first)
-            if not len(left):
-                break
+            k += 1
 
-    def _found(self, h: np.ndarray) -> np.ndarray:
-        """Number of the piece with each hash, or the last number."""
+    def _steps(self, node: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The node that each character leads to, or the last number."""
         none = len(self.keys) - 1
-        spread, shift, table = self.slots[0]
-        out = table[(h * spread) >> shift]
-        taken = np.flatnonzero(out < none)
-        again = taken[self.keys[out[taken]] != h[taken]]  # the slot is another piece's
+        h = node.astype(np.uint64) * self.spread + rank.astype(np.uint64)
+        by, shift, table = self.slots[0]
+        out = table[(h * by) >> shift]
+        again = np.flatnonzero((self.keys[out] != h) & (out < none))  # the slot is another's
         out[again] = none
-        for spread, shift, table in self.slots[1:]:
-            at = table[(h[again] * spread) >> shift]
-            out[again] = np.where(self.keys[at] == h[again], at, out[again])
+        for by, shift, table in self.slots[1:]:
+            at = table[(h[again] * by) >> shift]
+            out[again] = np.where((self.keys[at] == h[again]) & (at < none), at, out[again])
         return out
 
     def learn(self, parts: set[str]) -> None:
-        """``best`` for many parts at once: the same steps, for all parts of one length together."""
+        """Solves and remembers all of them that are short enough."""
+        known, before = self.late.number, self.old.number
+        parts = [s for s in parts if len(s) <= SHORT_PART and s not in known]
+        again = [s for s in parts if s in before]
+        if again:
+            self._remember(again, *self.old.take(np.fromiter(map(before.__getitem__, again), np.int64, len(again))))
+            parts = [s for s in parts if s not in before]
+        for a in range(0, len(parts), TOGETHER):
+            self._solve(parts[a : a + TOGETHER])
+
+    def _remember(self, names: list[str], *solved: np.ndarray) -> None:
+        first = self.late.add(*solved)
+        self.late.number.update(zip(names, range(first, first + len(names))))
+
+    def _alone(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``best`` for one part after the other."""
+        ids, score, loss = zip(*map(self.best, parts))
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int32), np.array(score), np.array(loss)
+
+    def _solve(self, parts: list[str]) -> None:
+        """``best`` for many parts at once: the same steps, for all parts together."""
         if not hasattr(self, "keys"):
             self._tables()
-        self._keep(len(parts))
-        parts = {s for s in parts if s not in self.known}
-        again = parts & self.old.keys()
-        self.known.update((s, self.old[s]) for s in again)
-        parts -= again
-        by_size: dict[int, list[str]] = {}
-        number = self.number.__getitem__
-        for s in parts:
-            if len(s) <= WIDE:
-                by_size.setdefault(len(s), []).append(s)
-        for n, words in by_size.items():
-            code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
-            plain = (self._found(code.ravel()).reshape(code.shape) < len(self.keys) - 1).all(1)  # the rest needs byte pieces
-            code, words = code[plain], [w for w, ok in zip(words, plain.tolist()) if ok]
-            rows = np.arange(len(words))
-            start = np.zeros((n + 1, len(words)), np.uint64)
-            for j in range(n):
-                start[j + 1] = start[j] * self.power[1] + code[:, j]
-            one, two = np.full((n + 1, len(words)), -np.inf), np.full((n + 1, len(words)), -np.inf)
-            by = np.zeros((n + 1, len(words)), np.int32)  # piece * 32 + its start
-            one[0] = 0.0
-            for i in range(n):
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    p = self._found(start[j] - start[i] * self.power[j - i])
-                    own = np.flatnonzero(p < len(self.keys) - 1)
-                    p = p[own]
-                    x, old, second = self.score[p], one[j, own], two[j, own]
-                    v = one[i, own] + x
-                    better = v > old
-                    two[j, own] = np.where(better, np.maximum(old, two[i, own] + x), np.maximum(second, v))
-                    one[j, own] = np.maximum(old, v)
-                    by[j, own] = np.where(better, p * 32 + i, by[j, own])
-            at, chain_, used = np.full(len(words), n), np.full((n, len(words)), -1, np.int64), np.zeros(len(words), np.int64)
-            for k in range(n):
-                live = at > 0
-                step = by[at, rows]
-                chain_[k] = np.where(live, self.piece[step >> 5], -1)
-                used += live
-                at = np.where(live, step & 31, 0)
-            for w, ids, k, a, b in zip(words, chain_.T.tolist(), used.tolist(), one[n].tolist(), (one[n] - two[n]).tolist()):
-                self.known[w] = (tuple(map(number, ids[:k][::-1])), a, b)
+        rank = self.rank[np.frombuffer(("\0".join(parts) + "\0").encode("utf-32-le"), np.uint32)]  # a place for each character and for the end
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        base = np.cumsum(size + 1) - size - 1
+        alone = self.first[rank]
+        bare = (alone < 0) | (self.piece[alone] < 0)  # needs byte pieces
+        bare[base + size] = False
+        odd = np.logical_or.reduceat(bare, base)
+        if odd.any():
+            names = [parts[k] for k in np.flatnonzero(odd).tolist()]
+            self._remember(names, *self._alone(names))
+            parts = [parts[k] for k in np.flatnonzero(~odd).tolist()]
+            return self._solve(parts) if parts else None
+        which = np.arange(len(rank)) - np.repeat(base, size + 1)  # each place's number in its part
+        left = np.repeat(size, size + 1) - which
+        # pieces by start, length and node
+        starts, lengths, nodes = [], [], []
+        at = np.flatnonzero(left)
+        node = alone[at]
+        for k in range(1, self.most + 1):
+            if k > 1:
+                more = left[at] >= k
+                at, node = at[more], node[more]
+                node = self._steps(node, rank[at + k - 1])
+                more = node < len(self.keys) - 1
+                at, node = at[more], node[more]
+            if not len(at):
+                break
+            own = np.flatnonzero(self.piece[node] >= 0)
+            starts.append(at[own])
+            lengths.append(np.full(len(own), k, np.int64))
+            nodes.append(node[own])
+        start, length, node = np.concatenate(starts), np.concatenate(lengths), np.concatenate(nodes)
+        order = np.argsort(which[start].astype(np.uint8), kind="stable")
+        start, length, node = start[order], length[order], node[order]
+        bounds = np.cumsum(np.bincount(which[start])).tolist()
+        value, end = self.score[node], start + length
+        one, two = np.full(len(rank), -np.inf), np.full(len(rank), -np.inf)
+        back, by = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int32)  # length and id of each place's last piece
+        one[base] = 0.0
+        piece = self.piece[node]
+        for a, b in zip([0, *bounds], bounds):  # no two pieces of one start have one end
+            i, j, x = start[a:b], end[a:b], value[a:b]
+            old = one[j]
+            v = one[i] + x
+            better = v > old
+            two[j] = np.where(better, np.maximum(old, two[i] + x), np.maximum(two[j], v))
+            one[j] = np.maximum(old, v)
+            j = j[better]
+            back[j], by[j] = length[a:b][better], piece[a:b][better]
+        last = base + size
+        at, live, used, found = last, np.arange(len(parts)), np.zeros(len(parts), np.int64), []
+        while len(live):
+            used[live] += 1
+            found.append((live, by[at]))
+            at = at - back[at]
+            more = at > base[live]
+            at, live = at[more], live[more]
+        ids, behind = np.empty(used.sum(), np.int32), np.cumsum(used) - 1
+        for k, (live, own) in enumerate(found):
+            ids[behind[live] - k] = own
+        self._remember(parts, ids, used, one[last], one[last] - two[last])
 
     def _ending(self, s: str, j: int) -> list[tuple]:
         """``_into(s)[j]``, for long parts: nothing is kept for the places that no way comes by."""
@@ -303,38 +402,85 @@ class Lattice:
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, list[int]]]:
         """The ``n`` best (score, ids) of a whole text, best first."""
-        return self.ways(self.split(" " + text), n) if text else []
-
-    def ways(self, parts: list[str], n: int) -> list[tuple[float, list[int]]]:
-        """``encode`` for a text's parts."""
-        if not parts:
-            return []
-        best = list(map(self.known.get, parts))
-        if None in best:
-            solve = self.best
-            best = [b or solve(p) for b, p in zip(best, parts)]
-        flat = list(chain.from_iterable(map(IDS, best)))
-        score = math.fsum(map(SCORE, best))
-        if n == 1:
-            return [(score, flat)]
-        ways: list[tuple[float, tuple]] = [(0.0, ())]  # (loss, ((part, ids), ...))
-        near = heapq.nsmallest(n - 1, zip(map(LOSS, best), count()))
-        limit = near[-1][0] if len(near) == n - 1 else math.inf  # n - 1 ways lose no more than this
-        for loss, i in near:
-            if loss < math.inf:
-                own = self.n_best(parts[i], n, limit)
-                ways = heapq.nsmallest(n, ((loss + own[0][0] - x, (*w, (i, ids))) for loss, w in ways for x, ids in own), key=lambda w: w[0])
-        at = list(accumulate(map(len, map(IDS, best)), initial=0))
-        out = []
-        for k, (loss, changed) in enumerate(ways):
-            ids = flat
-            for i, own in sorted(changed, reverse=True) if k else ():
-                ids = [*ids[: at[i]], *own, *ids[at[i + 1] :]]
-            out.append((score - loss, ids))
+        return [(score, ids.tolist()) for score, ids in next(self.many([text], n))]
+
+    def many(self, texts: list[str | None], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """``encode`` for one text after the other, worked on together in groups of about ``ROOM`` code points."""
+        group, size = [], 0
+        for t in texts:
+            if group and size + len(t or "") > ROOM:
+                yield from self._ways(group, n)
+                group, size = [], 0
+            group.append(t)
+            size += len(t or "")
+        yield from self._ways(group, n)
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """The parts' numbers among those of late; parts too long to be remembered come last there, without a name."""
+        if 2 * len(self.late.number) > self.remember:  # half of what may be remembered is new: the old half goes
+            self.late, self.old = Solved(), self.late
+        known = self.late.number
+        out = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            names = [parts[k] for k in new.tolist()]
+            self.learn(set(names))
+            brief = {s: 0 for s in names if len(s) > SHORT_PART}
+            for s in brief:
+                brief[s] = self.late.add(*self._alone([s]))
+            out[new] = [brief[s] if len(s) > SHORT_PART else known[s] for s in names]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(self.spelled[i] or b"" for i in ids).decode()[1:]
+    def _ways(self, texts: list[str | None], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        each = [self.split(" " + t) if t else [] for t in texts]
+        count = np.fromiter(map(len, each), np.int64, len(each))
+        parts = list(chain.from_iterable(each))
+        del each
+        numbers = self._numbers(parts)
+        flat, size, score, loss = self.late.take(numbers)
+        self.late.cut(len(self.late.number))
+        at, bound, score = np.append(0, np.cumsum(size, dtype=np.int64)), np.append(0, np.cumsum(count)), score.tolist()
+        # of each text the n - 1 parts whose second best way loses least, by loss and place
+        some = np.flatnonzero(count)
+        low = []
+        for _ in range(n - 1 if len(some) else 0):
+            least = np.minimum.reduceat(loss, bound[some])
+            hit = np.flatnonzero(loss == np.repeat(least, count[some]))
+            hit = hit[np.searchsorted(hit, bound[some])]
+            low.append((least.tolist(), hit.tolist()))
+            loss[hit] = np.inf
+        k = -1
+        for a, b in zip(bound.tolist(), bound[1:].tolist()):
+            if a == b:
+                yield []
+                continue
+            k += 1
+            total, best = math.fsum(score[a:b]), flat[at[a] : at[b]]
+            ways: list[tuple[float, tuple]] = [(0.0, ())]  # (loss, ((part, ids), ...))
+            limit = low[-1][0][k] if low else math.inf  # n - 1 ways lose no more than this
+            for least, hit in low:
+                if least[k] < math.inf:
+                    i = hit[k]
+                    own = self.n_best(parts[i], n, limit)
+                    ways = heapq.nsmallest(n, ((lost + own[0][0] - x, (*w, (i, ids))) for lost, w in ways for x, ids in own), key=lambda w: w[0])
+            out = [(total, best)]
+            for lost, changed in ways[1:]:
+                spans, since = [], at[a]
+                for i, own in sorted(changed):
+                    spans += flat[since : at[i]], np.array(own, np.int32)
+                    since = at[i + 1]
+                out.append((total - lost, np.concatenate([*spans, flat[since : at[b]]])))
+            yield out
+
+    def spelt(self, ids: list[int] | np.ndarray) -> bytes:
+        """The text's bytes, without its first space."""
+        if not len(ids):
+            return b""
+        _, ends, data = self.spelling.take(pa.array(np.asarray(ids, np.int32))).buffers()
+        return memoryview(data or b"")[1 : np.frombuffer(ends, np.int64)[len(ids)]].tobytes()
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        return self.spelt(ids).decode()
 
 
 _LATTICES: dict = {}
@@ -349,25 +495,31 @@ def lattice_of(model: tuple, remember: int) -> Lattice:
     return _LATTICES[key]
 
 
+def offsets(rows: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+
+
+def lists(rows: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(offsets(rows), pa.array(np.concatenate([NONE, *rows])))
+
+
 def encode(docs: DataFrame, model: str = MODEL, n: int = BEST, remember: int = FEWER) -> DataFrame:
     """All columns of ``docs`` and ids, n_pieces, score, nbest (array of score and ids), decoded (in place of columns of these names)."""
     spark = C.ready(docs.sparkSession)
     docs = docs.drop(*ADDED)
     held = spark.sparkContext.broadcast(read_model(model))  # as large as the model file
     place = docs.columns.index("text")
-    nbest = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def run(batches):
         lattice = lattice_of(held.value, remember)
         for b in batches:
             for a in range(0, b.num_rows, 200):
                 p = b.slice(a, 200)
-                texts = p.column(place).to_pylist()
-                parts = [lattice.split(" " + t) if t else [] for t in texts]
-                lattice.learn(set(chain.from_iterable(parts)))
-                ways = [lattice.ways(own, n) for own in parts]
-                ids = [w[0][1] if w else [] for w in ways]
-                more = [pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int64()), pa.array([w[0][0] if w else 0.0 for w in ways], pa.float64()), pa.array([[{"score": s, "ids": x} for s, x in w] for w in ways], nbest), pa.array([lattice.decode(x) if x else "" for x in ids], pa.string())]
+                ways = list(lattice.many(p.column(place).to_pylist(), n))
+                best, every = [w[0] if w else (0.0, NONE) for w in ways], list(chain.from_iterable(ways))
+                ids = [x for _, x in best]
+                nbest = pa.StructArray.from_arrays([pa.array([s for s, _ in every], pa.float64()), lists([x for _, x in every])], ["score", "ids"])
+                more = [lists(ids), pa.array(map(len, ids), pa.int64()), pa.array([s for s, _ in best], pa.float64()), pa.ListArray.from_arrays(offsets(ways), nbest), pa.array(map(lattice.decode, ids), pa.string())]
                 yield pa.record_batch([*p.columns, *more], [*p.schema.names, "ids", "n_pieces", "score", "nbest", "decoded"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, kind) for c, kind in ADDED.items())]))
@@ -385,13 +537,10 @@ def digests(docs: DataFrame, model: str = MODEL, n: int = BEST, remember: int =
                 p = b.slice(a, 1000)
                 out: dict = {k: [] for k in ("n_pieces", "ids_sha256", "score", "nbest_scores", "nbest_pieces", "decoded_sha256", "round_trip")}
                 texts = p.column(1).to_pylist()
-                parts = [lattice.split(" " + t) if t else [] for t in texts]
-                lattice.learn(set(chain.from_iterable(parts)))
-                for t, own in zip(texts, parts):
-                    ways = lattice.ways(own, n)
-                    ids = ways[0][1] if ways else []
-                    back = lattice.decode(ids) if ids else ""
-                    for k, v in zip(out, (len(ids), hashlib.sha256(array("i", ids)).hexdigest(), ways[0][0] if ways else 0.0, [w[0] for w in ways], [len(w[1]) for w in ways], hashlib.sha256(back.encode()).hexdigest(), back == (t or ""))):
+                for t, ways in zip(texts, lattice.many(texts, n)):
+                    score, ids = ways[0] if ways else (0.0, NONE)
+                    back = lattice.spelt(ids)
+                    for k, v in zip(out, (len(ids), hashlib.sha256(ids).hexdigest(), score, [w[0] for w in ways], [len(w[1]) for w in ways], hashlib.sha256(back).hexdigest(), back == (t or "").encode())):
                         out[k].append(v)
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.string(), pa.bool_())
                 yield pa.record_batch([p.column(0), *(pa.array(v, k) for v, k in zip(out.values(), kinds))], ["doc_id", *out])

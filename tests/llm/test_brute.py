@@ -4,6 +4,8 @@ import collections
 import random
 import subprocess
 import sys
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -209,3 +211,44 @@ def test_pipeline_stage_by_stage(docs, rows, spark, monkeypatch):
         assert r["round_trip"] and lattice.decode(r["ids"]) == (r["text"] or "") if r["text"] else not r["ids"]
         assert r["score"] == pytest.approx(brute.best_score(lattice.pieces, lattice.byte_ids, lattice.worst, r["text"] or "") if r["text"] else 0.0)
     assert out.count() == taken.count()
+
+
+def test_pieces_of_many_texts_are_those_of_each(rows):
+    """Scores and ids of a group, with parts forgotten and found again, against backward A-star over each whole text."""
+    model, rnd = pieces.read_model(), random.Random(6)
+    odd = [None, "", " ", "  ", "\n", "é" * 64, "日" * 70, "a" * 63 + " c", "\0a \0"]
+    texts = [t and t[:150] for _, t, _ in rows] + odd + ["".join(rnd.choice("ab ce\n\té日x  \U0001f600▁\0") for _ in range(rnd.randint(1, 60))) for _ in range(150)]
+    plain, small = pieces.Lattice(model), pieces.Lattice(model, 40)
+    for n in (1, 4):
+        groups = [w for a in range(0, len(texts), 20) for w in small.many(texts[a : a + 20], n)]
+        for t, ways in zip(texts, groups, strict=True):
+            want = plain.n_best(" " + t, n) if t else []
+            assert [x for x, _ in ways] == pytest.approx([x for x, _ in want]) and all(small.decode(i) == t for _, i in ways)
+            assert [x.tolist() for _, x in ways] == [x for _, x in small.encode(t, n)]
+            if ways:
+                assert ways[0][0] == pytest.approx(brute.best_score(plain.pieces, plain.byte_ids, plain.worst, t))
+
+
+def test_learning_many_parts_takes_little():
+    """Memory and time of a remembered part: what op 2 spends most on where words are ever new."""
+    rnd = random.Random(4)
+    syllables = ["an", "ble", "wh", "st", "ti", "th", "re", "in", "er", "on", "ed", "or", "ent", "ly", "ß", "é"]
+    words = sorted({" " + "".join(rnd.choice(syllables) for _ in range(rnd.randint(3, 6))) for _ in range(30000)})
+    model, ratio = pieces.read_model(), []
+    for _ in range(3):
+        m = pieces.Lattice(model)
+        m.learn({"a"})
+        begin = time.process_time()
+        m.learn(set(words))
+        middle = time.process_time()
+        for w in words:
+            m.best(w)
+        ratio.append((time.process_time() - middle) / (middle - begin))
+    assert max(ratio) > 4
+    m = pieces.Lattice(model)
+    m.learn({"a"})
+    tracemalloc.start()
+    m.learn(set(words))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 170 * len(words)
