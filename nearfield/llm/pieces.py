@@ -461,7 +461,9 @@ class Lattice:
             for least, hit in low:
                 if least[k] < math.inf:
                     i = hit[k]
-                    own = self.n_best(parts[i], n, limit)
+                    own, first = self.n_best(parts[i], n, limit), tuple(flat[at[i] : at[i + 1]].tolist())
+                    if own[0][1] != first:  # as good: A-star opened another before the one that ``best`` takes
+                        own = [(own[0][0], first), *(w for w in own if w[1] != first)][:n]
                     ways = heapq.nsmallest(n, ((lost + own[0][0] - x, (*w, (i, ids))) for lost, w in ways for x, ids in own), key=lambda w: w[0])
             out = [(total, best)]
             for lost, changed in ways[1:]:

@@ -224,6 +224,7 @@ def test_pieces_of_many_texts_are_those_of_each(rows):
         for t, ways in zip(texts, groups, strict=True):
             want = plain.n_best(" " + t, n) if t else []
             assert [x for x, _ in ways] == pytest.approx([x for x, _ in want]) and all(small.decode(i) == t for _, i in ways)
+            assert len({tuple(i.tolist()) for _, i in ways}) == len(ways)  # where ways are equally good, too
             assert [x.tolist() for _, x in ways] == [x for _, x in small.encode(t, n)]
             if ways:
                 assert ways[0][0] == pytest.approx(brute.best_score(plain.pieces, plain.byte_ids, plain.worst, t))
